@@ -1,7 +1,9 @@
 """Derived tables over the test data, in SQL that Spark and DuckDB both run.
 
 ``{orders}`` and the like stand for base tables. The few places where the two
-dialects differ use ``{G}`` (regexp flag), ``{QUAL}``, ``{CLASSES}``.
+dialects differ use ``{G}`` (regexp flag), ``{QUAL}``, ``{CLASSES}``. The test
+tables are single files, so hints deal the heavier ones over tasks, as the
+splits of a large table would; DuckDB reads the hints as comments.
 """
 
 from __future__ import annotations
@@ -73,7 +75,7 @@ FIXTURES["genome"] = """
 SELECT CONCAT('chr', CAST(doc_id + 1 AS STRING)) AS contig,
  translate(lower(regexp_replace(text, '[^a-zA-Z]', ''{G})), 'abcdefghijklmnopqrstuvwxyz',
   'ACGTACGTACGTACGTACGTACGTAC') AS seq
-FROM {documents}
+FROM (SELECT /*+ REPARTITION(16) */ doc_id, text FROM {documents}) d
 """
 
 # Rows of lineitem with the genome contig they live on.
@@ -107,7 +109,7 @@ FIXTURES["aligned"] = """
 SELECT rid, sample_id, qname, contig, pos, mapq, flag, cigar, tlen, qlen,
  CONCAT(SUBSTRING(s, 1, k), translate(SUBSTRING(s, k + 1, 1), 'ACGT', 'CGTA'), SUBSTRING(s, k + 2, 100)) AS seq,
  {QUAL} AS qual
-FROM (SELECT l_orderkey * 100 + rn AS rid, CONCAT('s', CAST(l_suppkey % 8 AS STRING)) AS sample_id,
+FROM (SELECT /*+ REPARTITION(32) */ l_orderkey * 100 + rn AS rid, CONCAT('s', CAST(l_suppkey % 8 AS STRING)) AS sample_id,
  CONCAT('q', CAST(l_orderkey AS STRING), '_', CAST(CAST(FLOOR((rn - 1) / 2.0) AS BIGINT) AS STRING)) AS qname,
  gcontig AS contig, gpos AS pos, CAST(l_quantity AS INT) + 10 AS mapq,
  CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN rn % 2 = 1 THEN 99 ELSE 147 END

@@ -98,8 +98,8 @@ def vocabulary(standard: list[str] | None = None) -> dict[str, int]:
 def encode_chars(
     text: Column | str,
     vocab: dict[str, int] | None = None,
-    bos: bool = True,
-    eos: bool = True,
+    bos: bool = False,
+    eos: bool = False,
     max_length: int | None = None,
     pad: bool = False,
 ) -> Column:

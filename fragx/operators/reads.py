@@ -145,6 +145,36 @@ def fix_mate_info(
     return reads.join(mates.withColumnRenamed("rid", rid), rid, "left")
 
 
+def ref_span(cigar: Column | str) -> Column:
+    """Reference bases an alignment covers (M, =, X, D and N operations)."""
+    parts = F.regexp_extract_all(F.col(cigar) if isinstance(cigar, str) else cigar, F.lit(r"(\d+)[M=XDN]"), F.lit(1))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, n: acc + n.cast("long"))
+
+
+def base_at(pos: str, cigar: str, seq: str, qual: str, site: Column) -> Column:
+    """struct(base, bq) of a read at one reference position; null where it has no base."""
+    found = F.aggregate(
+        R.parse_cigar(cigar),
+        F.struct(
+            F.col(pos).cast("long").alias("r"), F.lit(0).cast("int").alias("q"), F.lit(None).cast("int").alias("hit")
+        ),
+        lambda acc, o: F.struct(
+            (acc["r"] + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["len"]).otherwise(0)).alias("r"),
+            (acc["q"] + F.when(o["op"].isin("M", "=", "X", "I", "S"), o["len"]).otherwise(0)).alias("q"),
+            F.when(
+                o["op"].isin("M", "=", "X") & (site >= acc["r"]) & (site < acc["r"] + o["len"]),
+                (acc["q"] + site - acc["r"]).cast("int"),
+            ).otherwise(acc["hit"]).alias("hit"),
+        ),
+    )["hit"]
+    return F.when(
+        found.isNotNull(),
+        F.struct(
+            F.substring(F.col(seq), found + 1, F.lit(1)).alias("base"), F.get(F.col(qual), found).cast("int").alias("bq")
+        ),
+    )
+
+
 def expand_alignment(
     reads: DataFrame,
     keep: list[str],
@@ -154,14 +184,16 @@ def expand_alignment(
     qual: str = "qual",
     window: tuple[str, str] | None = None,
     ref: str | None = None,
+    skips: bool = False,
 ) -> DataFrame:
     """Rows of events per read: bases, deleted bases, and the indels themselves.
 
-    Output: ``keep`` plus ``kind`` (base, ins, del), ``ref_pos``, ``base``, ``bq``
-    and ``event`` (inserted or deleted sequence, else null). A deleted base has
-    base ``-`` and the quality of the next query base, or 0 at the end. Indel
-    rows sit at the reference position where they start and carry the quality
-    as the mean (insertion) or next base (deletion).
+    Output: ``keep`` plus ``kind`` (base, del_base, ins, del), ``ref_pos``, ``base``,
+    ``bq`` and ``event`` (inserted or deleted sequence, else null). A deleted base
+    has base ``-`` and the quality of the next query base, or 0 at the end. Indel
+    rows sit at the reference position where they start, ``base`` is the read's
+    base before the event, and the quality is the mean of the inserted bases or
+    that of the next base. ``skips`` adds skip rows for the positions of N operations.
 
     ``window`` names two columns with the window ``[start, end)`` of the row;
     events are clipped to it by the rules of the per-site stack: an indel needs
@@ -205,7 +237,7 @@ def expand_alignment(
         F.transform(advancing, lambda o: F.greatest(F.col(pos) + o["r"], lo) if window else F.col(pos) + o["r"])
     )
     one = located.select(*carried, first_kept.alias("_first"), F.explode("_ops").alias("_o")).filter(
-        F.col("_o.op").isin("M", "=", "X", "D", "I")
+        F.col("_o.op").isin("M", "=", "X", "D", "I", *(["N"] if skips else []))
     )
     one = one.select(
         *carried, "_first", F.col("_o.op").alias("_op"), F.col("_o.len").alias("_len"),
@@ -214,55 +246,39 @@ def expand_alignment(
     s, e = F.col("_rp"), F.col("_rp") + F.col("_len")
     if window:
         s, e = F.greatest(s, lo), F.least(e, hi)
-    deleted = F.col("_op") == "D"
-    next_quality = F.coalesce(F.get(F.col(qual), F.col("_q")), F.lit(0)).cast("double")
-    per_base = F.when(
-        F.col("_op").isin("M", "=", "X", "D") & (e > s),
-        F.transform(
-            F.sequence(s, e - 1),
-            lambda p: F.struct(
-                F.when(deleted, "del_base").otherwise("base").alias("kind"),
-                p.alias("ref_pos"),
-                F.when(deleted, "-")
-                .otherwise(F.substring(F.col(seq), (F.col("_q") + p - F.col("_rp") + 1).cast("int"), F.lit(1)))
-                .alias("base"),
-                F.when(deleted, next_quality)
-                .otherwise(F.get(F.col(qual), (F.col("_q") + p - F.col("_rp")).cast("int")).cast("double"))
-                .alias("bq"),
-                F.lit(None).cast("string").alias("event"),
-            ),
-        ),
-    )
     anchored = F.col("_first").isNotNull() & (F.col("_first") < F.col("_rp"))
-    ins_len = F.least(F.col("_len"), (hi - F.col("_rp")).cast("int")) if window else F.col("_len")
-    ins_quality = F.slice(F.col(qual), F.col("_q") + 1, F.greatest(ins_len, F.lit(0)))
+    event_len = F.least(F.col("_len"), (hi - F.col("_rp")).cast("int")) if window else F.col("_len")
+    has_event = F.col("_op").isin("I", "D") & anchored & (event_len > 0)
+    # Positions of the operation, and one more entry for the event itself; the generator and the
+    # projection after it run in generated code, so no per-base lambda is interpreted.
+    nothing = F.array().cast("array<bigint>")
+    spots = F.concat(
+        F.when((F.col("_op") != "I") & (e > s), F.sequence(s, e - 1)).otherwise(nothing),
+        F.when(has_event, F.array(F.lit(-1).cast("long"))).otherwise(nothing),
+    )
+    rows = one.select("*", event_len.alias("_n"), F.explode(spots).alias("_p"))
+    event = F.col("_p") < 0
+    inserted, deleted, skipped = F.col("_op") == "I", F.col("_op") == "D", F.col("_op") == "N"
+    at = (F.col("_q") + F.col("_p") - F.col("_rp")).cast("int")
+    next_quality = F.coalesce(F.get(F.col(qual), F.col("_q")), F.lit(0)).cast("double")
+    ins_quality = F.slice(F.col(qual), F.col("_q") + 1, F.greatest(F.col("_n"), F.lit(0)))
     ins_mean = F.try_divide(
         F.aggregate(ins_quality, F.lit(0.0), lambda acc, x: acc + x.cast("double")), F.size(ins_quality)
     )
-    ins_ok = (F.col("_op") == "I") & anchored & (ins_len > 0)
-    del_from = F.greatest(F.col("_rp"), lo) if window else F.col("_rp")
-    del_to = F.least(F.col("_rp") + F.col("_len"), hi) if window else F.col("_rp") + F.col("_len")
-    del_len = (del_to - del_from).cast("int")
     if ref and window:
-        del_seq = F.substring(F.col(ref), (F.col("_rp") - lo + 1).cast("int"), del_len)
+        del_seq = F.substring(F.col(ref), (F.col("_rp") - lo + 1).cast("int"), F.col("_n"))
     else:
-        del_seq = F.repeat(F.lit("N"), F.greatest(del_len, F.lit(0)))
-    del_ok = deleted & anchored & (del_len > 0)
-
-    def event(kind, bq, text):
-        return F.array(
-            F.struct(
-                F.lit(kind).alias("kind"), F.col("_rp").alias("ref_pos"), F.lit(None).cast("string").alias("base"),
-                bq.cast("double").alias("bq"), text.alias("event"),
-            )
-        )
-
-    nothing = F.array().cast("array<struct<kind:string,ref_pos:bigint,base:string,bq:double,event:string>>")
-    events = (
-        F.when(ins_ok, event("ins", ins_mean, F.substring(F.col(seq), F.col("_q") + 1, ins_len)))
-        .when(del_ok, event("del", next_quality, del_seq))
-        .otherwise(nothing)
+        del_seq = F.repeat(F.lit("N"), F.greatest(F.col("_n"), F.lit(0)))
+    return rows.select(
+        *keep,
+        F.when(event, F.when(inserted, "ins").otherwise("del"))
+        .when(deleted, "del_base").when(skipped, "skip").otherwise("base").alias("kind"),
+        F.when(event, F.col("_rp")).otherwise(F.col("_p")).alias("ref_pos"),
+        F.when(event, F.substring(F.col(seq), F.col("_q"), F.lit(1)))
+        .when(deleted, "-").when(skipped, ">")
+        .otherwise(F.substring(F.col(seq), at + 1, F.lit(1))).alias("base"),
+        F.when(event & inserted, ins_mean).when(event | deleted | skipped, next_quality)
+        .otherwise(F.get(F.col(qual), at).cast("double")).alias("bq"),
+        F.when(event & inserted, F.substring(F.col(seq), F.col("_q") + 1, F.col("_n")))
+        .when(event, del_seq).alias("event"),
     )
-    return one.select(
-        *keep, F.explode(F.concat(F.coalesce(per_base, nothing), events)).alias("_x")
-    ).select(*keep, "_x.*")
