@@ -77,15 +77,34 @@ def type_to_genotype(ref: Column | str, kind: Column | str) -> Column:
     )
 
 
+def _genotype_of(ref: str, kind: str) -> str:
+    """The rule of ``type_to_genotype`` for a known base, used to lay out constant sums."""
+    if "N" in kind:
+        return "0/0"
+    same = kind[0] == kind[1]
+    if ref in kind:
+        return "0/0" if same else "0/1"
+    return "1/1" if same else "1/2"
+
+
 def genotype_probs(ref: Column | str, probs: Column | str) -> Column:
     """24 allele-type probabilities summed into the 4 genotypes."""
     ref, probs = col(ref), col(probs)
+
+    def total(indexes):
+        out = F.lit(0.0)
+        for i in indexes:
+            out = out + probs[i]
+        return out
+
+    everything = total(range(len(K.ALLELE_TYPES)))
     totals = []
     for name in K.GENOTYPES:
-        total = F.lit(0.0)
-        for i, kind in enumerate(K.ALLELE_TYPES):
-            total = total + F.when(type_to_genotype(ref, F.lit(kind)) == name, probs[i]).otherwise(F.lit(0.0))
-        totals.append(total)
+        chain = everything if name == "0/0" else F.lit(0.0)
+        for base in K.BASES:
+            members = [i for i, kind in enumerate(K.ALLELE_TYPES) if _genotype_of(base, kind) == name]
+            chain = F.when(ref == base, total(members)).otherwise(chain)
+        totals.append(chain)
     return F.array(*totals)
 
 
