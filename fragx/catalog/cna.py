@@ -11,6 +11,7 @@ from fragx.functions.common import round6
 from fragx.operators import cna as C
 from fragx.operators.ordering import genome_order
 from fragx.plans.copy_number import copy_number as copy_number_plan
+from fragx.session import materialize
 
 TRACK = """CAST(((start // 1000000) * 37) % 60 + 20 AS DOUBLE) / 100 - CASE WHEN (start // 1000000) % 11 = 0 THEN 1 ELSE 0 END AS gc_raw,
   CAST(((start // 1000000) * 53) % 100 AS DOUBLE) / 100 AS map"""
@@ -93,12 +94,12 @@ def percent_of_total(spark, sf_dir):
 
 @register("build_panel", "SELECT level, key, ROUND(mean, 6) + 0.0 AS mean, ROUND(std, 6) + 0.0 AS std FROM panel", CNA)
 def build_panel(spark, sf_dir):
-    p = C.build_panel(shares(spark, sf_dir), "sample_id", ["level", "key"])
+    p = C.build_panel(materialize(shares(spark, sf_dir)), "sample_id", ["level", "key"])
     return p.select("level", "key", round6("mean").alias("mean"), round6("std").alias("std"))
 
 
 def scored(spark, sf_dir):
-    s = shares(spark, sf_dir)
+    s = materialize(shares(spark, sf_dir))
     return C.zscore_vs_panel(s, C.build_panel(s, "sample_id", ["level", "key"]), "sample_id", ["level", "key"])
 
 
@@ -140,7 +141,7 @@ def gc_correct(spark, sf_dir):
 
 @register("copy_number")
 def copy_number(spark, sf_dir):
-    bins = dense(spark, sf_dir)
+    bins = materialize(dense(spark, sf_dir))
     gc, mappability = tracks(bins)
     arms = table(spark, sf_dir, "contigs")
     z = copy_number_plan(bins, arms, gc, mappability, mappability_threshold=0.5)

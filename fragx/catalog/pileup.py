@@ -11,6 +11,7 @@ from fragx.functions.common import round6
 from fragx.operators import pileup as P, stacks as T
 from fragx.operators.methylation import select_candidates as select_methylation
 from fragx.operators.reads import expand_alignment as expand
+from fragx.session import materialize
 
 EXPANDED = {
     "ops": """SELECT rid, i, op, len, COALESCE(SUM(CASE WHEN op IN ('M', 'D', 'N') THEN len ELSE 0 END) OVER w, 0) AS r,
@@ -158,6 +159,12 @@ def rows(spark, sf_dir):
     return T.stack_rows(pairs(spark, sf_dir), ["site"])
 
 
+def folded(spark, sf_dir):
+    """Consensus and events of one computed stack."""
+    r = materialize(rows(spark, sf_dir))
+    return T.fragment_consensus(r, ["site"]), T.fragment_events(r, ["site"])
+
+
 @register("reads_around_sites", "SELECT site, rid FROM around", STACK)
 def reads_around_sites(spark, sf_dir):
     return pairs(spark, sf_dir).select("site", "rid")
@@ -193,8 +200,7 @@ def base_profile5(spark, sf_dir):
 
 @register("base_profile38", 'SELECT site, CAST(o AS INT) AS "offset", sym AS symbol, COUNT(*) AS n FROM stranded GROUP BY site, o, sym', STACK)
 def base_profile38(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    return T.base_profile(T.fragment_consensus(r, ["site"]), T.fragment_events(r, ["site"]), ["site"])
+    return T.base_profile(*folded(spark, sf_dir), ["site"])
 
 
 @register(
@@ -206,8 +212,7 @@ def base_profile38(spark, sf_dir):
 def base_profile14(spark, sf_dir):
     from fragx.constants import PROFILE14
 
-    r = rows(spark, sf_dir)
-    return T.base_profile(T.fragment_consensus(r, ["site"]), T.fragment_events(r, ["site"]), ["site"], PROFILE14)
+    return T.base_profile(*folded(spark, sf_dir), ["site"], PROFILE14)
 
 
 SIMPLE = {
@@ -269,9 +274,7 @@ def insertion_track(spark, sf_dir):
 
 @register("site_examples")
 def site_examples(spark, sf_dir):
-    r = rows(spark, sf_dir)
-    out = T.site_examples(
-        T.fragment_consensus(r, ["site"]), T.fragment_events(r, ["site"]), windows(spark, sf_dir), ["site"], 33, 8, max_len=31
-    )
+    consensus, events = folded(spark, sf_dir)
+    out = T.site_examples(materialize(consensus), events, windows(spark, sf_dir), ["site"], 33, 8, max_len=31)
     as_text = [F.to_json(c).alias(c) for c in ("tokens", "ins_tokens", "strands", "qualities", "profile")]
     return out.select("site", "depth", *as_text)

@@ -29,6 +29,7 @@ def point_in_interval_join(
     width: int = DEFAULT_WIDTH,
     how: str = "inner",
     hot_rows: int | None = DEFAULT_HOT_ROWS,
+    hot_side: str = "left",
 ) -> DataFrame:
     """Each point with every interval of its group that contains it.
 
@@ -40,7 +41,7 @@ def point_in_interval_join(
         "_bucket", _buckets(F.col(start), F.col(end), width)
     )
     inside = (F.col(start) <= F.col(pos)) & (F.col(pos) < F.col(end))
-    return salted_join(left, right, [*keys, "_bucket"], inside, how, hot_rows).drop("_bucket")
+    return salted_join(left, right, [*keys, "_bucket"], inside, how, hot_rows, hot_side).drop("_bucket")
 
 
 def interval_overlap_join(
@@ -52,19 +53,21 @@ def interval_overlap_join(
     width: int = DEFAULT_WIDTH,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     clip: bool = False,
+    hot_side: str = "right",
 ) -> DataFrame:
     """Every pair of overlapping intervals of one group, once.
 
     Both sides go into all buckets they touch; a pair is kept only in the
     bucket of the later start, which both always share. ``clip`` adds the
-    common part as ``clip_start`` and ``clip_end``.
+    common part as ``clip_start`` and ``clip_end``. By default the right side
+    (reads, fragments) is the one whose buckets can be hot.
     """
     (ls, le), (rs, re) = left_range, right_range
     a = left.filter(F.col(le) > F.col(ls)).withColumn("_bucket", _buckets(F.col(ls), F.col(le), width))
     b = right.filter(F.col(re) > F.col(rs)).withColumn("_bucket", _buckets(F.col(rs), F.col(re), width))
     later = F.greatest(F.col(ls), F.col(rs))
     hit = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)) & (F.col("_bucket") == floor_div(later, width))
-    pairs = salted_join(a, b, [*keys, "_bucket"], hit, "inner", hot_rows).drop("_bucket")
+    pairs = salted_join(a, b, [*keys, "_bucket"], hit, "inner", hot_rows, hot_side).drop("_bucket")
     if clip:
         pairs = pairs.withColumn("clip_start", later).withColumn("clip_end", F.least(F.col(le), F.col(re)))
     return pairs
@@ -138,7 +141,7 @@ def in_regions(
         how = "left_anti" if negate else "left_semi"
         return point_in_interval_join(df, merged, keys, pos, "_ms", "_me", width, how, hot_rows)
     first = running_max(merged, keys, "_ms", "_me", "_before", 1_000_000, inclusive=False)
-    pairs = interval_overlap_join(df, first, keys, span, ("_ms", "_me"), width, hot_rows)
+    pairs = interval_overlap_join(df, first, keys, span, ("_ms", "_me"), width, hot_rows, hot_side="left")
     hits = pairs.filter(F.col("_before").isNull() | (F.col("_before") <= F.col(span[0]))).select(*df.columns)
     if not negate:
         return hits

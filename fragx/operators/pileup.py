@@ -16,7 +16,7 @@ SYMBOLS = ["A", "C", "G", "T", "I", "D", "O"]
 
 def pileup_counts(
     reads: DataFrame, chunks: DataFrame, keys: list[str] | None = None, min_mapq: int = 5, min_bq: int = 0,
-    flag_mask: int = 2316, chunk: int = CHUNK, overlap: int = OVERLAP, hot_rows: int | None = DEFAULT_HOT_ROWS,
+    flag_mask: int = 2316, chunk: int = CHUNK, overlap: int = OVERLAP,
 ) -> DataFrame:
     """Counts per position: ``a c g t ins del other``, ``depth``, ``ref_base`` and ``alt_bases`` (text -> count).
 
@@ -26,6 +26,8 @@ def pileup_counts(
     unclear bases are "other". Equal symbols of a position collapse on the map
     side before the shuffle. ``chunks`` come from ``chunk_genome`` with the
     same ``chunk`` and ``overlap``; a deletion must be shorter than ``overlap``.
+    Counts meet the genome after they collapsed, at most ``chunk`` positions per
+    chunk and group, so that join needs no salts.
     """
     by = [*(keys or []), "contig"]
     kept = reads.filter(R.passes_flag_mask("flag", flag_mask) & (F.col("mapq") >= min_mapq))
@@ -56,7 +58,7 @@ def pileup_counts(
         .agg(F.sum("_e.c").alias("c"), F.sum("_e.n").alias("n"))
     )
     located = salted_join(
-        counted.withColumn("chunk_id", floor_div("pos", chunk)), chunks, ["contig", "chunk_id"], None, "inner", hot_rows
+        counted.withColumn("chunk_id", floor_div("pos", chunk)), chunks, ["contig", "chunk_id"], hot_rows=None
     )
     at = (F.col("pos") - F.col("chunk_start") + 1).cast("int")
     deleted = F.col("t").startswith("-")
@@ -123,7 +125,7 @@ def base_coverage(
         *by, "contig", F.col("pos").alias("_s"), (F.col("pos") + ref_span("cigar")).alias("_e"), "cigar", "seq", "qual"
     )
     places = sites.select(key, "contig", F.col(site).alias("_site"))
-    hits = point_in_interval_join(places, kept, ["contig"], "_site", "_s", "_e", 50_000, "inner", hot_rows)
+    hits = point_in_interval_join(places, kept, ["contig"], "_site", "_s", "_e", 50_000, "inner", hot_rows, "right")
     picked = hits.select(*by, key, base_at("_s", "cigar", "seq", "qual", F.col("_site")).alias("_b")).filter(
         F.col("_b.bq") >= min_bq
     )

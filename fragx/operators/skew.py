@@ -28,26 +28,25 @@ def salted_join(
     condition: Column | None = None,
     how: str = "inner",
     hot_rows: int | None = DEFAULT_HOT_ROWS,
+    hot_side: str = "left",
 ) -> DataFrame:
-    """Join on ``keys`` (present on both sides) with hot left keys spread over salts.
+    """Join on ``keys`` (present on both sides) with hot keys of one side spread over salts.
 
-    Rows of a hot left key are dealt over salts by a hash of the row and its
-    input partition, so even exact copies spread; right rows of that key are
-    repeated once per salt. Other keys keep one salt and are not repeated.
-    ``condition`` may name any column of either side. ``how`` is inner, left,
-    left_semi or left_anti. ``hot_rows=None`` leaves skew to AQE.
+    Rows of a hot key are dealt over salts by a hash of the row and its input
+    partition, so even exact copies spread; the other side's rows of that key
+    are repeated once per salt. Other keys keep one salt and are not repeated.
+    ``hot_side`` names the side that can hold the mass; semi, anti and left
+    joins can only spread the left side. ``condition`` may name any column of
+    either side. ``hot_rows=None`` leaves skew to AQE, which splits a skewed
+    partition of either side at run time.
     """
     right_keys = {k: f"_r_{k}" for k in keys}
     on = list(keys)
     if hot_rows is not None:
-        hot = hot_keys(left, keys, hot_rows)
-        spread = F.pmod(F.xxhash64(*left.columns) + F.spark_partition_id(), F.coalesce("_salts", F.lit(1)))
-        left = left.join(hot, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
-        right = (
-            right.join(hot, keys, "left")
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-            .drop("_salts")
-        )
+        from_left = hot_side == "left" or how != "inner"
+        hot = hot_keys(left if from_left else right, keys, hot_rows)
+        left = _deal(left, hot, keys) if from_left else _repeat(left, hot, keys)
+        right = _repeat(right, hot, keys) if from_left else _deal(right, hot, keys)
         on.append("_salt")
         right_keys["_salt"] = "_r__salt"
     for key, alias in right_keys.items():
@@ -59,3 +58,15 @@ def salted_join(
         match = match & condition
     joined = left.join(right, match, how)
     return joined.drop("_salt", *right_keys.values())
+
+
+def _deal(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """One salt per row. The partition id is fixed for a planned stage, so a retried task deals the same."""
+    spread = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.coalesce("_salts", F.lit(1)))
+    return df.join(hot, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
+
+
+def _repeat(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Every salt of the row's key."""
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    return df.join(hot, keys, "left").withColumn("_salt", salts).drop("_salts")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from fragx.operators import cna as C
+from fragx.session import materialize
 
 
 def corrected_shares(
@@ -14,7 +15,7 @@ def corrected_shares(
     """Percent of the corrected total per (sample, level, key) for arms and ideal bins."""
     armed = C.assign_arm(bins, arms)
     flagged = C.bin_flags(C.attach_tracks(armed, gc, mappability, ["contig", "start"]), mappability_threshold)
-    corrected = C.gc_correct(flagged, sample)
+    corrected = materialize(C.gc_correct(materialize(flagged), sample))
     totals = C.arm_totals(corrected, [sample])
     by_arm = C.percent_of_total(totals, [sample], "total").select(
         sample, F.lit("arm").alias("level"), F.col("arm").alias("key"), "share"
@@ -29,7 +30,7 @@ def corrected_shares(
 def panel_of_normals(bins: DataFrame, arms: DataFrame, gc: DataFrame, mappability: DataFrame, **options) -> DataFrame:
     """Mean and standard deviation per (level, key) over normal samples."""
     sample = options.get("sample", "sample_id")
-    return C.build_panel(corrected_shares(bins, arms, gc, mappability, **options), sample, ["level", "key"])
+    return C.build_panel(materialize(corrected_shares(bins, arms, gc, mappability, **options)), sample, ["level", "key"])
 
 
 def copy_number(
@@ -37,7 +38,8 @@ def copy_number(
 ) -> DataFrame:
     """Scores per (sample, level, key); without a panel the samples themselves are the panel."""
     sample = options.get("sample", "sample_id")
-    shares = corrected_shares(bins, arms, gc, mappability, **options)
+    # Samples x bins rows, used for the samples, the panel and the keys: far smaller than the reads.
+    shares = materialize(corrected_shares(bins, arms, gc, mappability, **options))
     if panel is None:
         panel = C.build_panel(shares, sample, ["level", "key"])
     return C.zscore_vs_panel(shares, panel, sample, ["level", "key"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "fragx", master: str | None = None, **conf) -> SparkSession:
@@ -44,3 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         current = configured
     return current
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back: for a small result that several branches of a plan use.
+
+    The checkpoint lies in the shared folder, so lost executors do not force
+    the inputs to be read again, and branches do not repeat the work.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
