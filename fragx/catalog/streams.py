@@ -117,7 +117,7 @@ def _spread(pdf: pd.DataFrame) -> pd.DataFrame:
     "SELECT vec_id, ROUND(CAST(list_max(embedding) AS DOUBLE) - CAST(list_min(embedding) AS DOUBLE), 6) + 0.0 AS spread FROM embeddings",
 )
 def group_apply(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("_g", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    e = table(spark, sf_dir, "embeddings").withColumn("_g", F.floor(F.col("vec_id") / 256))
     g = L.group_apply(e, ["_g"], _spread, "vec_id bigint, spread double")
     return g.select("vec_id", round6("spread").alias("spread"))
 

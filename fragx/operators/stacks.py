@@ -211,17 +211,18 @@ def base_profile(
 
 def profile_arrays(profile: DataFrame, site: list[str], size: int, types: list[str]) -> DataFrame:
     """Dense ``profile``: one array of type counts / 100 per column; bounded by size x types per site."""
-    cells = profile.groupBy(*site).agg(
-        F.map_from_entries(
-            F.collect_list(F.struct(F.concat_ws(":", F.col("offset").cast("string"), "symbol"), "n"))
-        ).alias("_m")
+    columns = [F.sum(F.when(F.col("symbol") == t, F.col("n"))) for t in types]
+    per_offset = profile.groupBy(*site, "offset").agg(
+        F.array(*[F.coalesce(c, F.lit(0)).cast("double") / 100 for c in columns]).alias("_row")
     )
-    names = F.array(*[F.lit(t) for t in types])
-    value = lambda i, t: F.coalesce(F.try_element_at("_m", F.concat_ws(":", i.cast("string"), t)), F.lit(0)) / 100
+    packed = per_offset.groupBy(*site).agg(
+        F.map_from_entries(F.collect_list(F.struct("offset", "_row"))).alias("_m")
+    )
+    empty = F.array_repeat(F.lit(0.0), len(types))
     dense = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(names, lambda t: value(i, t).cast("double"))
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), empty)
     )
-    return cells.select(*site, dense.alias("profile"))
+    return packed.select(*site, dense.alias("profile"))
 
 
 def site_examples(
