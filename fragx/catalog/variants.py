@@ -11,6 +11,7 @@ from fragx.functions.common import round6
 from fragx.operators import genome as N, variants as V
 from fragx.operators.ordering import top_ratio as top_ratio_rows
 from fragx.operators.ordering import genome_order
+from fragx.plans.mutation import mutation as mutation_plan
 
 COMP = "translate({0}, 'ACGT', 'TGCA')"
 
@@ -193,7 +194,7 @@ def dbs_spectrum(spark, sf_dir):
     CALLED,
 )
 def mutation_features(spark, sf_dir):
-    return V.mutation_features(called(spark, sf_dir), chunks(spark, sf_dir), ORDER, window=1000)
+    return mutation_plan(called(spark, sf_dir), chunks(spark, sf_dir), ORDER, window=1000)
 
 
 @register("sorted_genotype", "SELECT contig, pos, ref, alt, gt_b AS given_a, gt_a AS given_b, LEAST(gt_a, gt_b) AS a, GREATEST(gt_a, gt_b) AS b, CAST(CASE CONCAT(LEAST(gt_a, gt_b), '/', GREATEST(gt_a, gt_b)) WHEN '0/0' THEN 0 WHEN '1/1' THEN 1 WHEN '0/1' THEN 2 WHEN '1/2' THEN 3 END AS INT) AS idx FROM variants")

@@ -12,7 +12,7 @@ def read_wig(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parallel. The span defaults to 1. Data without a header and unreadable
     numbers are errors.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("_t"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("_t"))
     blocks = text.select(F.posexplode(F.split("_t", r"(?m)^(?=fixedStep|variableStep)")).alias("_i", "_b"))
     lines = F.filter(
         F.transform(F.split("_b", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(track|#)")
