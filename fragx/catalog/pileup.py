@@ -172,12 +172,19 @@ def reads_around_sites(spark, sf_dir):
 
 @register(
     "fragment_consensus",
-    'SELECT site, fragment, CAST(o AS INT) AS "offset", base, bq, mapq, CAST(strand AS INT) AS strand FROM consensus',
+    """SELECT site, base, CAST(strand AS INT) AS strand, COUNT(*) AS n, CAST(SUM(bq * (o + 1)) AS DOUBLE) AS bq_sum, CAST(SUM(mapq * (o + 1)) AS BIGINT) AS mapq_sum,
+      MIN(fragment) AS first_fragment, MAX(fragment) AS last_fragment FROM consensus GROUP BY site, base, strand""",
     STACK,
 )
 def fragment_consensus(spark, sf_dir):
     c = T.fragment_consensus(rows(spark, sf_dir), ["site"])
-    return c.select("site", "fragment", "offset", "base", "bq", "mapq", "strand")
+    # Summed per site, base and strand, weighted by column, so that every cell counts in the comparison.
+    column = F.col("offset") + 1
+    return c.groupBy("site", "base", "strand").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("bq") * column).alias("bq_sum"),
+        F.sum(F.col("mapq") * column).cast("long").alias("mapq_sum"), F.min("fragment").alias("first_fragment"),
+        F.max("fragment").alias("last_fragment"),
+    )
 
 
 @register("fragment_events", "SELECT site, fragment, ord, kind, idx, ev AS seq FROM kept_indels", STACK)
@@ -188,31 +195,40 @@ def fragment_events(spark, sf_dir):
 
 @register(
     "base_profile5",
-    """SELECT site, CAST(o AS INT) AS "offset", COUNT(CASE WHEN base = 'N' THEN 1 END) AS n_n, COUNT(CASE WHEN base = 'A' THEN 1 END) AS n_a, COUNT(CASE WHEN base = 'C' THEN 1 END) AS n_c,
-      COUNT(CASE WHEN base = 'G' THEN 1 END) AS n_g, COUNT(CASE WHEN base = 'T' THEN 1 END) AS n_t FROM (SELECT site, o, base FROM consensus
-      UNION ALL SELECT site, k, substring(ref_seq, k + 1, 1) FROM (SELECT *, unnest(range(0, 33)) AS k FROM windows) w) x GROUP BY site, o""",
+    """SELECT site, CAST(SUM(CASE WHEN base = 'N' THEN o + 1 ELSE 0 END) AS BIGINT) AS n_n, CAST(SUM(CASE WHEN base = 'A' THEN o + 1 ELSE 0 END) AS BIGINT) AS n_a, CAST(SUM(CASE WHEN base = 'C' THEN o + 1 ELSE 0 END) AS BIGINT) AS n_c,
+      CAST(SUM(CASE WHEN base = 'G' THEN o + 1 ELSE 0 END) AS BIGINT) AS n_g, CAST(SUM(CASE WHEN base = 'T' THEN o + 1 ELSE 0 END) AS BIGINT) AS n_t FROM (SELECT site, o, base FROM consensus
+      UNION ALL SELECT site, k, substring(ref_seq, k + 1, 1) FROM (SELECT *, unnest(range(0, 33)) AS k FROM windows) w) x GROUP BY site""",
     STACK,
 )
 def base_profile5(spark, sf_dir):
     w = windows(spark, sf_dir)
-    return T.base_profile5(T.fragment_consensus(rows(spark, sf_dir), ["site"]), w, ["site"])
+    profile = T.base_profile5(T.fragment_consensus(rows(spark, sf_dir), ["site"]), w, ["site"])
+    column = F.col("offset") + 1
+    return profile.groupBy("site").agg(*[F.sum(F.col(c) * column).alias(c) for c in ("n_n", "n_a", "n_c", "n_g", "n_t")])
+
+
+def by_symbol(profile):
+    """Per site and symbol: the total, and the total weighted by column."""
+    return profile.groupBy("site", "symbol").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("offset") + 1)).alias("weighted")
+    )
 
 
-@register("base_profile38", 'SELECT site, CAST(o AS INT) AS "offset", sym AS symbol, COUNT(*) AS n FROM stranded GROUP BY site, o, sym', STACK)
+@register("base_profile38", "SELECT site, sym AS symbol, COUNT(*) AS n, CAST(SUM(o + 1) AS BIGINT) AS weighted FROM stranded GROUP BY site, sym", STACK)
 def base_profile38(spark, sf_dir):
-    return T.base_profile(*folded(spark, sf_dir), ["site"])
+    return by_symbol(T.base_profile(*folded(spark, sf_dir), ["site"]))
 
 
 @register(
     "base_profile14",
-    """SELECT site, CAST(o AS INT) AS "offset", sym AS symbol, COUNT(*) AS n FROM stranded
-     WHERE sym IN ('A', 'C', 'G', 'T', 'N', 'DS', 'IS', 'a', 'c', 'g', 't', 'n', 'ds', 'is') GROUP BY site, o, sym""",
+    """SELECT site, sym AS symbol, COUNT(*) AS n, CAST(SUM(o + 1) AS BIGINT) AS weighted FROM stranded
+     WHERE sym IN ('A', 'C', 'G', 'T', 'N', 'DS', 'IS', 'a', 'c', 'g', 't', 'n', 'ds', 'is') GROUP BY site, sym""",
     STACK,
 )
 def base_profile14(spark, sf_dir):
     from fragx.constants import PROFILE14
 
-    return T.base_profile(*folded(spark, sf_dir), ["site"], PROFILE14)
+    return by_symbol(T.base_profile(*folded(spark, sf_dir), ["site"], PROFILE14))
 
 
 SIMPLE = {
