@@ -132,7 +132,8 @@ def in_regions(
 
     Regions are merged first. Each merged region remembers where the one before
     it ended, so an interval that hits several meets exactly one "first" region
-    and the semi join needs no distinct.
+    and the semi join needs no distinct. The negated interval form compares
+    whole rows, so its columns must be comparable (no maps).
     """
     merged = merge_intervals(regions, keys, start, end).select(
         *keys, F.col(start).alias("_ms"), F.col(end).alias("_me")

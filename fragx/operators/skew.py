@@ -62,7 +62,8 @@ def salted_join(
 
 def _deal(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """One salt per row. The partition id is fixed for a planned stage, so a retried task deals the same."""
-    spread = F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.coalesce("_salts", F.lit(1)))
+    hashed = [name for name, kind in df.dtypes if "map<" not in kind]  # maps have no hash
+    spread = F.pmod(F.xxhash64(*hashed) + F.spark_partition_id(), F.coalesce("_salts", F.lit(1)))
     return df.join(hot, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
 
 
