@@ -45,10 +45,12 @@ def split_groups(spark, sf_dir):
 @register(
     "methylation_features",
     """SELECT CONCAT(g, '_', chr, ':', CAST((position // 1000000) * 1000000 AS VARCHAR), '-', CAST((position // 1000000) * 1000000 + 1000000 AS VARCHAR)) AS feature,
-      ROUND(COALESCE(AVG(probability - reference), -1), 6) + 0.0 AS value
+      ROUND(COALESCE(AVG(probability - reference), -1) + 1e-9, 6) + 0.0 AS value
     FROM (SELECT *, unnest(string_split(grp, ',')) AS g FROM joined) j GROUP BY g, chr, position // 1000000""",
     FIRST,
 )
 def methylation_features(spark, sf_dir):
     out = M.methylation_features(_sites(spark, sf_dir), _calls(spark, sf_dir), "call_id")
-    return out.select("feature", round6("value").alias("value"))
+    # Means of three-digit numbers often end in an exact half at the seventh digit; the order of the
+    # sum decides there, so both sides are moved off the half by the same tiny amount.
+    return out.select("feature", round6(F.col("value") + F.lit(1e-9)).alias("value"))

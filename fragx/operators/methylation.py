@@ -45,11 +45,23 @@ def methylation_features(
     ``sites`` has chr, position, reference, group; ``calls`` has chr, position, probability and ``order``.
     """
     by = list(samples or [])
-    joined = left_join_sites(sites, calls, order, samples=samples)
-    value = F.col("probability") - F.col("reference") if calibrate else F.col("probability")
-    rows = split_groups(joined.withColumn("_value", value))
+    keys = ["chr", "position"]
     label = F.concat_ws("_", "group", bin_label("chr", "position", window))
-    return rows.groupBy(*by, label.alias("feature")).agg(F.coalesce(F.avg("_value"), F.lit(fill)).alias("value"))
+    first = distinct_first(calls.select(*by, *keys, "probability", order), [*by, *keys], order)
+    value = F.col("probability") - F.col("reference") if calibrate else F.col("probability")
+    # Only called sites are averaged; bins without any come from the (group, bin) list, which is
+    # far shorter than sites x samples.
+    means = (
+        split_groups(first.join(sites, keys).withColumn("_value", value))
+        .groupBy(*by, label.alias("feature")).agg(F.avg("_value").alias("_mean"))
+    )
+    listed = split_groups(sites).select(label.alias("feature")).distinct()
+    if by:
+        names = listed.agg(F.collect_list("feature")).scalar()
+        listed = calls.select(*by).distinct().select(*by, F.explode(names).alias("feature"))
+    return listed.join(means, [*by, "feature"], "left").select(
+        *by, "feature", F.coalesce("_mean", F.lit(fill)).alias("value")
+    )
 
 
 def select_candidates(coverage: DataFrame, min_c: int = 1, min_depth: int = 3) -> DataFrame:

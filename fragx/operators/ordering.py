@@ -19,7 +19,8 @@ def sliced(df: DataFrame, keys: list[str], order: list[Column], slices: int | No
 
     ``_tie`` takes part in the ranges, so rows with equal keys split as well.
     The checkpoint makes both columns plain data: a lost executor or a second
-    use of the frame cannot cut the ranges differently.
+    use of the frame cannot cut the ranges differently. Range partitioning
+    samples its input first, so give it a stored table or a narrow selection.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

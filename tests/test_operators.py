@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fragx.operators import cna, intervals, metrics, ordering, reads, shaping, stacks, variants
+from fragx.operators import cna, intervals, methylation, metrics, ordering, reads, shaping, stacks, variants
 from fragx.operators.skew import salted_join
 
 
@@ -222,6 +222,24 @@ def test_cap_depth(spark):
     assert a == b and len(a) == 6
 
 
+def test_methylation_features_of_many_samples(spark):
+    sites = spark.createDataFrame(
+        [("chr1", 5, 0.5, "a,b"), ("chr1", 7, 0.1, "a"), ("chr1", 25, 0.0, "a")],
+        "chr string, position bigint, reference double, group string",
+    )
+    calls = spark.createDataFrame(
+        [("x", "chr1", 5, 0.9, 1), ("x", "chr1", 5, 0.2, 2), ("x", "chr1", 7, None, 3), ("x", "chr1", 99, 1.0, 4), ("y", "chr1", 25, 0.4, 5)],
+        "s string, chr string, position bigint, probability double, ord int",
+    )
+    got = {(r.s, r.feature): round(r.value, 9) for r in methylation.methylation_features(sites, calls, "ord", 10, samples=["s"]).collect()}
+    assert got == {
+        ("x", "a_chr1:0-10"): 0.4, ("x", "b_chr1:0-10"): 0.4, ("x", "a_chr1:20-30"): -1.0,
+        ("y", "a_chr1:0-10"): -1.0, ("y", "b_chr1:0-10"): -1.0, ("y", "a_chr1:20-30"): 0.4,
+    }
+    plain = {r.feature: r.value for r in methylation.methylation_features(sites, calls.filter("s = 'y'"), "ord", 10, calibrate=False, fill=-9.0).collect()}
+    assert plain == {"a_chr1:0-10": -9.0, "b_chr1:0-10": -9.0, "a_chr1:20-30": 0.4}
+
+
 def test_auc_edge_cases(spark):
     df = spark.createDataFrame([("x", 1, 0.9), ("x", 0, 0.9), ("x", 1, 0.2), ("y", 1, 0.5)], "g string, y int, s double")
     got = {r.g: r.auc for r in metrics.auc(df, "s", "y", ["g"]).collect()}
