@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fragx.functions.common import floor_div
 from fragx.operators.intervals import point_in_interval_join
@@ -27,16 +27,30 @@ def dense_bins(
 
     A group runs to its last counted bin, or over its whole length when
     ``lengths`` (``keys`` and ``length``) is given. The bin end is not truncated.
+
+    The counts are read once: every counted bin brings along the empty bins
+    that follow it, and the first one those before it. A window sees one
+    group's counted bins, at most its length over ``window``.
     """
+    step = F.lit(window).cast("long")
+    along = Window.partitionBy(*keys).orderBy("start")
     if lengths is None:
-        last = counts.groupBy(*keys).agg(F.max("start").alias("_last"))
+        rows = counts.select(*keys, "start", "reads")
+        following = F.coalesce(F.lead("start").over(along), F.col("start") + step)
     else:
-        last = lengths.select(*keys, (F.col(length).cast("long") - 1).alias("_last"))
-    grid = last.select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(window).cast("long"))).alias("start")
+        ends = lengths.select(*keys, (F.ceil(F.col(length) / window) * window).cast("long").alias("_stop"))
+        rows = ends.join(counts.select(*keys, "start", "reads"), keys, "left")
+        # Bins past the end of the group drop out; ``least`` skips the missing next start of the last bin.
+        following = F.least(F.lead("start").over(along), F.col("_stop"))
+    filled = rows.select("*", following.alias("_next"), F.lag("start").over(along).isNull().alias("_head"))
+    zero = F.lit(0).cast("long")
+    first = F.when(F.col("_head"), zero).otherwise(F.col("start"))
+    spread = filled.filter(first < F.col("_next")).select(
+        *keys, F.col("start").alias("_at"), "reads", F.explode(F.sequence(first, F.col("_next") - step, step)).alias("start")
     )
-    return grid.join(counts, [*keys, "start"], "left").select(
-        *keys, "start", (F.col("start") + window).alias("end"), F.coalesce("reads", F.lit(0)).cast("long").alias("reads")
+    return spread.select(
+        *keys, "start", (F.col("start") + step).alias("end"),
+        F.when(F.col("start") == F.col("_at"), F.col("reads")).otherwise(zero).cast("long").alias("reads"),
     )
 
 

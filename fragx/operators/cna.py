@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fragx import constants as K
-from fragx.functions.common import col
 
 FLOOR_SHARE = 1e-10
 
@@ -128,11 +127,12 @@ def arm_totals(bins: DataFrame, keys: list[str], value: str = "corrected") -> Da
 def percent_of_total(df: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
     """Value over the group total times 100 plus 1e-10; null counts as 0.
 
-    Group totals are one row per sample and level and join back on the key.
+    A group is one sample's bins or arms (genome length / window rows at most),
+    so a window gives the total in the same pass and the input is read once.
     """
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    share = F.coalesce(F.try_divide(F.col(value), F.col("_total")), F.lit(0.0)) * 100 + FLOOR_SHARE
-    return df.join(totals, keys).withColumn(name, share.cast("double")).drop("_total")
+    total = F.sum(value).over(Window.partitionBy(*keys))
+    share = F.coalesce(F.try_divide(F.col(value), total), F.lit(0.0)) * 100 + FLOOR_SHARE
+    return df.withColumn(name, share.cast("double"))
 
 
 def build_panel(shares: DataFrame, sample: str, keys: list[str], value: str = "share") -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fragx.operators import cna, intervals, methylation, metrics, ordering, reads, shaping, stacks, variants
+from fragx.operators import bins, cna, intervals, methylation, metrics, ordering, reads, shaping, stacks, variants
 from fragx.operators.skew import salted_join
 
 
@@ -222,6 +222,18 @@ def test_cap_depth(spark):
     assert a == b and len(a) == 6
 
 
+def test_dense_bins(spark):
+    counts = spark.createDataFrame([("a", 20, 2), ("a", 50, 5), ("b", 0, 1)], "c string, start bigint, reads bigint")
+    got = rows(bins.dense_bins(counts, ["c"], 10))
+    assert got == [("a", s, s + 10, {20: 2, 50: 5}.get(s, 0)) for s in range(0, 60, 10)] + [("b", 0, 10, 1)]
+    lengths = spark.createDataFrame([("a", 35), ("b", 20), ("d", 11)], "c string, len bigint")
+    got = rows(bins.dense_bins(counts, ["c"], 10, lengths))
+    assert got == (
+        [("a", s, s + 10, {20: 2}.get(s, 0)) for s in range(0, 40, 10)] + [("b", 0, 10, 1), ("b", 10, 20, 0)]
+        + [("d", 0, 10, 0), ("d", 10, 20, 0)]
+    )
+
+
 def test_methylation_features_of_many_samples(spark):
     sites = spark.createDataFrame(
         [("chr1", 5, 0.5, "a,b"), ("chr1", 7, 0.1, "a"), ("chr1", 25, 0.0, "a")],
