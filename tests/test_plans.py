@@ -128,6 +128,39 @@ def test_group_apply(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 3), ("b", 5)]
 
 
+def test_shuffle_is_a_repeatable_permutation(spark):
+    from fragx.operators.ordering import shuffle_rows
+
+    first, again = ([r.id for r in shuffle_rows(spark.range(100), "id", 5).collect()] for _ in range(2))
+    assert first == again and sorted(first) == list(range(100)) and first != list(range(100))
+
+
+def test_tree_models(spark):
+    data = [(i, int(i % 10 == 0), [float(i % 10 == 0), float(i % 3)]) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, label int, features array<double>")
+    for model in (
+        modeling.fit_classifier(df, numTrees=4, maxDepth=2, seed=1),
+        modeling.grid_search(df, {"numTrees": [3, 4]}, folds=2).bestModel,
+    ):
+        scored = modeling.predict_classes(model, df).collect()
+        assert sum((r.probs[1] > 0.5) == (r.label == 1) for r in scored) >= 195
+        assert all(abs(sum(r.probs) - 1) < 1e-9 for r in scored)
+
+
+def test_scoring_reports(spark):
+    from fragx.plans.scoring import reports, score_samples
+
+    features = spark.createDataFrame([("x", "age", 50.0), ("x", "f", 2.0), ("y", "g", 1.0)], "sample_id string, feature string, value double")
+
+    def predict(batch: pd.DataFrame) -> pd.DataFrame:
+        assert [list(v) for v in batch["features"] if v[0]] in ([], [[50.0, 2.0]])
+        return pd.DataFrame({"sample_id": batch["sample_id"], "probs": [np.array([0.25, 0.25, 0.5] + [0.0] * 8)] * len(batch)})
+
+    short, origin = reports(score_samples(features, ["age", "f"], predict))
+    assert sorted(tuple(r) for r in short.collect()) == [("x", 0.5, 0.5), ("y", 0.5, 0.5)]
+    assert origin.columns[2] == "probability_lung_cancer" and origin.first().probability_lung_cancer == 0.5
+
+
 def test_registry():
     assert {k: len(v) for k, v in SBS_TYPES.items()} == {"sbs6": 6, "sbs12": 12, "sbs96": 96, "sbs192": 192}
     assert len(ALLELE_TYPES) == 24
