@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from fragx.llm import bpe, langid, packing, quality, secrets, warc
+from fragx.llm import bpe, langid, neardup, packing, quality, repeats, secrets, warc
 from fragx.llm.common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,11 @@ def op4_language_id(spark, sf_dir) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_near_duplicates(spark, sf_dir) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_warc(spark, sf_dir) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
@@ -54,3 +59,18 @@ def op7_secrets(spark, sf_dir) -> DataFrame:
 @query
 def op8_bpe(spark, sf_dir) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op10_repeated_passages(spark, sf_dir) -> DataFrame:
+    found = repeats.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_rendered(c).alias(c) for c in ("spans", "later")], _covered("spans").alias("repeated_chars"), _covered("later").alias("later_chars"))
+
+
+def _rendered(spans: str):
+    """start:end of all spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+
+
+def _covered(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
