@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from fragx.llm import bpe, langid, neardup, packing, quality, repeats, secrets, warc
+from fragx.llm import ann, bpe, langid, neardup, packing, quality, repeats, secrets, warc
 from fragx.llm.common import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_posting_lists(spark, sf_dir) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op2_packing(spark, sf_dir) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
