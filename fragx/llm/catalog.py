@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from fragx.llm import ann, bpe, langid, neardup, packing, quality, repeats, secrets, warc
+from fragx.llm import ann, bpe, extract, langid, neardup, packing, quality, repeats, secrets, warc
 from fragx.llm.common import table
 
 QUERIES: dict = {}
@@ -66,6 +66,11 @@ def op8_bpe(spark, sf_dir) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query
+def op9_html_text(spark, sf_dir) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_repeated_passages(spark, sf_dir) -> DataFrame:
     found = repeats.repeated_passages(table(spark, sf_dir, "documents"))
