@@ -32,11 +32,15 @@ HOT_DOCS = 5_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def retained(hashes: np.ndarray, words: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all leads, and for each window of ``words`` words the position of its retained suffix."""
-    leads = gram_hashes(hashes, lead)
-    views = np.lib.stride_tricks.sliding_window_view(leads, words - lead + 1)
-    return leads, views.argmin(axis=1) + np.arange(len(views))
+def retained(hashes: np.ndarray, words: int, lead: int) -> np.ndarray:
+    """For each window of ``words`` words the lead of its retained suffix: the smallest of the window's leads."""
+    least, width = gram_hashes(hashes, lead), words - lead + 1
+    span = 1
+    while span < width:  # minima of spans from minima of shorter ones that overlap
+        step = min(span, width - span)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        span += step
+    return least
 
 
 def suffixes(docs: DataFrame, words: int, lead: int) -> DataFrame:
@@ -49,8 +53,7 @@ def suffixes(docs: DataFrame, words: int, lead: int) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 found = text.encode("utf-8", "replace").split()
                 if len(found) >= words:
-                    every, at = retained(hashes(found), words, lead)
-                    kept = np.unique(every[np.unique(at)])
+                    kept = np.unique(retained(hashes(found), words, lead))
                     ids.append(np.full(len(kept), doc_id, np.int64))
                     leads.append(kept)
             if ids:
@@ -70,10 +73,10 @@ def windows(docs: DataFrame, words: int, lead: int) -> DataFrame:
                 if len(places) < words:
                     continue
                 hashed = hashes(text.encode("utf-8", "replace").split())
-                every, at = retained(hashed, words, lead)
+                own = retained(hashed, words, lead)
                 shared = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                kept = np.flatnonzero(np.isin(every[at], shared))
-                is_hot = np.isin(every[at[kept]], hot.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                kept = np.flatnonzero(np.isin(own, shared))
+                is_hot = np.isin(own[kept], hot.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 start = places[kept, 0]
                 yield pa.RecordBatch.from_arrays(
                     [
