@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +43,19 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(lang, word, n) over all given documents; tasks combine before the shuffle."""
 
     def count(batches):
-        found: dict = {}
+        found: dict[str, Counter] = {}
 
         def out():
-            keys = list(found)
-            block = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["lang", "word", "n"],
-            )
+            rows = [(lang, word, n) for lang, words in found.items() for word, n in words.items()]
             found.clear()
-            return block
+            kinds = ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
         for batch in batches:
             for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist()):
-                for word in LETTERS.findall(text.lower()):
-                    key = lang, word
-                    found[key] = found.get(key, 0) + 1
-                if len(found) > FLUSH:
+                found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                if sum(map(len, found.values())) > FLUSH:
                     yield out()
         yield out()
 
@@ -106,17 +104,86 @@ def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
     return {"langs": langs, "words": penalties(words, lambda w: 0), "grams": penalties(grams, len), "prior": int(sizes.argmax())}
 
 
-def word_penalty(word: str, words: dict, grams: dict) -> np.ndarray | None:
-    """Penalties of a word; for an unseen one the mean over its longest n-grams that are known."""
+def evidence(word: str, words: dict[str, int], grams: dict[str, int]) -> tuple[bool, list[int]]:
+    """Whether the word is known, and its row, or the rows of its longest n-grams that are known."""
     known = words.get(word)
     if known is not None:
-        return known
+        return True, [known]
     padded = f" {word} "
     for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-        found = [g for g in (grams.get(padded[i : i + n]) for i in range(len(padded) - n + 1)) if g is not None]
+        found = [g for g in [grams.get(padded[i : i + n]) for i in range(len(padded) - n + 1)] if g is not None]
         if found:
-            return np.mean(found, axis=0)
-    return None
+            return False, found
+    return False, []
+
+
+class Scorer:
+    """Penalties of texts. What stands between white space is scored once and remembered up to a bound."""
+
+    def __init__(self, model: dict):
+        self.langs, self.prior = model["langs"], model["prior"]
+        self.words, self.word_rows = self._table(model["words"])
+        self.grams, self.gram_rows = self._table(model["grams"])
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((FLUSH, len(self.langs) + 2))  # sums of penalties, words with evidence, words
+
+    def _table(self, entries: dict) -> tuple[dict[str, int], np.ndarray]:
+        rows = np.array(list(entries.values()), float).reshape(len(entries), len(self.langs))
+        return {w: i for i, w in enumerate(entries)}, rows
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) + len(pieces) > len(self.rows):
+            self.known.clear()
+            if len(pieces) > len(self.rows):
+                self.rows = np.zeros((len(pieces), self.rows.shape[1]))
+        start = len(self.known)
+        self.rows[start : start + len(pieces)] = 0
+        of_word, word, of_grams, gram, counts, lettered = [], [], [], [], [], []
+        for at, piece in enumerate(pieces, start):
+            self.known[piece] = at
+            for w in letter_words(piece):
+                lettered.append(at)
+                is_word, found = evidence(w, self.words, self.grams)
+                if is_word:
+                    of_word.append(at)
+                    word += found
+                elif found:
+                    of_grams.append(at)
+                    gram += found
+                    counts.append(len(found))
+        n = len(self.langs)
+        np.add.at(self.rows[:, -1], lettered, 1)
+        np.add.at(self.rows[:, :n], of_word, self.word_rows[word])
+        if counts:
+            sizes = np.array(counts)
+            means = np.add.reduceat(self.gram_rows[gram], np.cumsum(sizes) - sizes) / sizes[:, None]
+            np.add.at(self.rows[:, :n], of_grams, means)
+        np.add.at(self.rows[:, n], of_word + of_grams, 1)
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        out = []
+        for start in range(0, len(texts), 256):
+            split = [t.split() for t in texts[start : start + 256]]
+            new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.known))
+            if len(self.known) + len(new) > len(self.rows):
+                self.known.clear()
+                new = list(dict.fromkeys(p for pieces in split for p in pieces))
+            self._learn(new)
+            known = self.known
+            for pieces in split:
+                total = self.rows[[known[p] for p in pieces]].sum(axis=0)
+                if not self.langs or not total[-1]:
+                    out.append(("und", 0.0))
+                elif not total[-2]:
+                    out.append((self.langs[self.prior], 0.0))
+                else:
+                    mean = total[:-2] / total[-2]
+                    likely = np.exp((mean.min() - mean) * np.log(10))
+                    out.append((self.langs[int(mean.argmin())], float(1 / likely.sum())))
+        return out
+
+
+_SCORERS: dict[str, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -126,51 +193,17 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     model without languages. Letters without any evidence give the language
     with most training words. Ties go to the name that sorts first.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's limits
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # bounded by the model's limits
 
     def run(batches):
-        model = shared.value
-        langs, words, grams = model["langs"], model["words"], model["grams"]
-        rows = np.zeros((1024, len(langs) + 1))
-        known: dict = {}
-        lettered: set = set()
-
-        def look(piece: str) -> int:
-            nonlocal rows
-            at = known[piece] = len(known)
-            if at >= len(rows):
-                rows = np.concatenate([rows, np.zeros_like(rows)])
-            rows[at] = 0
-            for word in letter_words(piece):
-                lettered.add(at)
-                penalty = word_penalty(word, words, grams)
-                if penalty is not None:
-                    rows[at, :-1] += penalty
-                    rows[at, -1] += 1
-            return at
-
+        if name not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[name] = Scorer(shared.value)
+        scorer = _SCORERS[name]
         for batch in batches:
-            preds, scores = [], []
-            for text in texts_of(batch):
-                if len(known) > FLUSH:
-                    known.clear()
-                    lettered.clear()
-                ids = [known[p] if p in known else look(p) for p in text.split()]
-                if not langs or not any(i in lettered for i in ids):
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                total = rows[ids].sum(axis=0)
-                if not total[-1]:
-                    preds.append(langs[model["prior"]])
-                    scores.append(0.0)
-                    continue
-                mean = total[:-1] / total[-1]
-                likely = np.exp((mean.min() - mean) * np.log(10))
-                preds.append(langs[int(mean.argmin())])
-                scores.append(float(1 / likely.sum()))
+            found = scorer(texts_of(batch))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
