@@ -65,7 +65,8 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     frame, v = vectors_fixture(spark)
     monkeypatch.setattr(ann, "LIST_ROWS", 40)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 30)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 100)
+    monkeypatch.setattr(ann, "SHARD_QUERIES", 10)
     from pyspark.sql import functions as F
 
     got = collections.defaultdict(list)
@@ -249,12 +250,12 @@ def test_language_odd_input(odd, nothing, spark):
 
 
 def test_word_backoff_prefers_longest_known_grams():
-    one, two = np.array([1.0, 5.0]), np.array([5.0, 1.0])
-    words, grams = {"haus": two}, {"th": one, "h": two}
-    assert langid.word_penalty("haus", words, grams) is two
-    assert langid.word_penalty("thx", words, grams).tolist() == [1.0, 5.0]
-    assert langid.word_penalty("h", words, grams).tolist() == [5.0, 1.0]
-    assert langid.word_penalty("q", words, grams) is None
+    words, grams = {"haus": 7}, {"th": 1, "h": 2, "hx ": 3}
+    assert langid.evidence("haus", words, grams) == (True, [7])
+    assert langid.evidence("thx", words, grams) == (False, [3])
+    assert langid.evidence("thy", words, grams) == (False, [1])
+    assert langid.evidence("h", words, grams) == (False, [2])
+    assert langid.evidence("q", words, grams) == (False, [])
 
 
 # near-duplicates
