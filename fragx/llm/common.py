@@ -99,6 +99,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def non_negative(*columns):
-    """A hash of columns as a non-negative long."""
-    return F.xxhash64(*columns).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+def hash_sample(df: DataFrame, columns: list[str], wanted: int, total: int) -> DataFrame:
+    """About ``wanted`` of ``total`` distinct rows, the same ones each time; all rows if there are no more.
+
+    Rows whose hash is below a bound: no task sorts or gathers more than its
+    own share, unlike an ordered limit, of which every task sends its best.
+    """
+    if total <= wanted:
+        return df
+    place = F.xxhash64(*columns).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+    return df.filter(place < F.lit(int((1 << 63) * (wanted / total))))

@@ -7,9 +7,9 @@ import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from fragx.llm.common import texts_of
+from fragx.llm.common import stored, texts_of
 
 # Fixed values of the base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,7 +34,8 @@ FLUSH = 200_000
 def identifier_dictionary(docs: DataFrame, max_words: int = DICTIONARY_WORDS, max_bytes: int = DICTIONARY_BYTES) -> bytes:
     """The commonest identifiers and words of all documents, commonest last, as raw dictionary content.
 
-    Every document is counted; tasks combine first, and only ``max_words`` rows reach the driver.
+    Every document is counted; tasks combine first. At most ``max_words`` rows
+    reach the driver: the words of the largest counts, all of a count or none.
     """
 
     def count(batches):
@@ -55,8 +56,13 @@ def identifier_dictionary(docs: DataFrame, max_words: int = DICTIONARY_WORDS, ma
         yield out()
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(max_words).collect()
-    content = b"\n".join(w.encode() for w, _ in reversed(top))[-max_bytes:]
+    counted = stored(rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"))
+    # the smallest count to keep, from the histogram of counts: an ordered limit would gather the best of every task
+    shape = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    least = shape.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n")))).filter(F.col("upto") <= max_words).agg(F.min("n")).first()[0]
+    kept = [] if least is None else counted.filter(F.col("n") >= least).collect()
+    top = sorted(kept, key=lambda r: (-r["n"], r["word"]))
+    content = b"\n".join(r["word"].encode() for r in reversed(top))[-max_bytes:]
     return content or b"password secret token key value string import return"
 
 
