@@ -103,5 +103,5 @@ ORIGIN_CLASSES = {
 }
 
 # Read flag bits.
-FLAG_PAIRED, FLAG_UNMAPPED, FLAG_MATE_UNMAPPED, FLAG_REVERSE = 1, 4, 8, 16
+FLAG_PAIRED, FLAG_PROPER_PAIR, FLAG_UNMAPPED, FLAG_MATE_UNMAPPED, FLAG_REVERSE = 1, 2, 4, 8, 16
 FLAG_READ2, FLAG_SECONDARY, FLAG_QCFAIL, FLAG_DUPLICATE, FLAG_SUPPLEMENTARY = 128, 256, 512, 1024, 2048

@@ -26,9 +26,10 @@ def namespace_features(families: list[tuple[str, DataFrame]], keys: list[str]) -
 def lookup_meta(
     samples: DataFrame, meta: DataFrame, key: str = "sample_id", defaults: dict[str, int] | None = None
 ) -> DataFrame:
-    """Age and sex per sample; -1 and 1 where the sample is not listed."""
+    """Age and sex per sample; -1 and 1 where the sample is not listed. Of several rows of a sample the smallest counts."""
     defaults = defaults or {"age": -1, "sex": 1}
-    rows = meta.groupBy(key).agg(*[F.first(c).alias(c) for c in defaults])
+    given = F.struct(*[F.col(c) for c in defaults])
+    rows = meta.groupBy(key).agg(F.min(given).alias("_m")).select(key, *[F.col(f"_m.{c}").alias(c) for c in defaults])
     joined = samples.join(rows, key, "left")
     return joined.select(*samples.columns, *[F.coalesce(c, F.lit(v)).cast("int").alias(c) for c, v in defaults.items()])
 

@@ -27,6 +27,24 @@ def chunk_genome(
     )
 
 
+def spell(
+    spans: DataFrame, chunks: DataFrame, contig: str, start: str, size: str, name: str, chunk: int = CHUNK
+) -> DataFrame:
+    """``spans`` (contig, start, size; distinct) plus their reference text, put together from as many chunks as they touch.
+
+    Meant for the few spans longer than the overlap of chunks. A span beyond the contig is cut at its end.
+    """
+    ids = F.sequence(floor_div(start, chunk), floor_div(F.col(start) + F.col(size) - 1, chunk))
+    pieces = spans.select(contig, start, size, F.explode(ids).alias("chunk_id")).join(
+        chunks.select(F.col("contig").alias(contig), "chunk_id", "chunk_start", "chunk_seq"), [contig, "chunk_id"]
+    )
+    first = F.greatest(F.col(start), F.col("chunk_start"))
+    last = F.least(F.col(start) + F.col(size), F.col("chunk_start") + chunk)
+    text = F.substring(F.col("chunk_seq"), (first - F.col("chunk_start") + 1).cast("int"), (last - first).cast("int"))
+    parts = pieces.groupBy(contig, start, size).agg(F.array_sort(F.collect_list(F.struct("chunk_id", text.alias("t")))).alias("_p"))
+    return parts.select(contig, start, size, F.array_join(F.transform("_p", lambda p: p["t"]), "").alias(name))
+
+
 def ref_window(
     sites: DataFrame,
     chunks: DataFrame,
@@ -42,15 +60,20 @@ def ref_window(
 ) -> DataFrame:
     """Reference bases ``[pos - before, pos + after)`` upper-cased.
 
+    A window longer than ``overlap`` is put together from several chunks.
     With ``whole_only`` sites whose window leaves the contig drop out, else it is cut at the ends.
     """
-    if before + after > overlap:
-        raise ValueError("window longer than the chunk overlap")
     start = F.col(pos) - before
     clipped = F.greatest(start, F.lit(0))
     left = sites.withColumn("chunk_id", floor_div(clipped, chunk))
     if whole_only:
         left = left.filter(start >= 0)
+    if before + after > overlap:
+        wide = left.select(F.col(contig).alias("_wc"), clipped.alias("_ws"), (F.col(pos) + after - clipped).alias("_wn")).distinct()
+        spelled = spell(wide, chunks, "_wc", "_ws", "_wn", name, chunk)
+        same = (F.col(contig) == F.col("_wc")) & (clipped == F.col("_ws")) & (F.col(pos) + after - clipped == F.col("_wn"))
+        out = left.join(spelled, same).select(*sites.columns, F.upper(name).alias(name))
+        return out.filter(F.length(name) == before + after) if whole_only else out
     right = chunks.withColumnRenamed("contig", contig)
     joined = salted_join(left, right, [contig, "chunk_id"], None, "inner", hot_rows)
     text = F.upper(

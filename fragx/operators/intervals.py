@@ -12,13 +12,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fragx.functions.common import floor_div
 from fragx.operators.skew import DEFAULT_HOT_ROWS, salted_join
 
-DEFAULT_WIDTH = 50_000
+#: Bucket widths below this gain nothing.
+MIN_WIDTH = 128
+#: Width for short reads and fragments, of a few hundred bases.
+READ_WIDTH = 256
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
+def _buckets(start: Column, end: Column, width: Column) -> Column:
     return F.explode(F.sequence(floor_div(start, width), floor_div(end - 1, width)))
 
 
+def mean_length(*sides: tuple[DataFrame, str, str]) -> Column:
+    """Bucket width from the data: the mean interval length of the side where it is larger.
+
+    With it no side has more than about three bucket rows per interval, and an
+    interval meets only what lies within a few lengths. One aggregate over each
+    side, as a scalar subquery; give a width where the lengths are known.
+    """
+    found = [df.agg(F.ceil(F.avg(F.when(F.col(e) > F.col(s), F.col(e) - F.col(s)))).cast("long")).scalar() for df, s, e in sides]
+    return F.greatest(F.lit(MIN_WIDTH).cast("long"), *found)
+
+
+def _width(width: int | Column | None, *sides: tuple[DataFrame, str, str]) -> Column:
+    if width is None:
+        return mean_length(*sides)
+    return width if isinstance(width, Column) else F.lit(int(width)).cast("long")
+
+
 def point_in_interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -26,7 +46,7 @@ def point_in_interval_join(
     pos: str = "pos",
     start: str = "st",
     end: str = "en",
-    width: int = DEFAULT_WIDTH,
+    width: int | Column | None = None,
     how: str = "inner",
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     hot_side: str = "left",
@@ -35,7 +55,9 @@ def point_in_interval_join(
 
     Apart from ``keys`` the two sides must not share column names. A point is
     in one bucket, so no pair is found twice and semi and anti joins hold too.
+    ``width`` is the bucket width, by default the mean length of the intervals.
     """
+    width = _width(width, (intervals, start, end))
     left = points.withColumn("_bucket", floor_div(pos, width))
     right = intervals.filter(F.col(end) > F.col(start)).withColumn(
         "_bucket", _buckets(F.col(start), F.col(end), width)
@@ -50,7 +72,7 @@ def interval_overlap_join(
     keys: list[str],
     left_range: tuple[str, str],
     right_range: tuple[str, str],
-    width: int = DEFAULT_WIDTH,
+    width: int | Column | None = None,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
     clip: bool = False,
     hot_side: str = "right",
@@ -60,9 +82,11 @@ def interval_overlap_join(
     Both sides go into all buckets they touch; a pair is kept only in the
     bucket of the later start, which both always share. ``clip`` adds the
     common part as ``clip_start`` and ``clip_end``. By default the right side
-    (reads, fragments) is the one whose buckets can be hot.
+    (reads, fragments) is the one whose buckets can be hot. ``width`` is the
+    bucket width, by default the larger of the two mean lengths.
     """
     (ls, le), (rs, re) = left_range, right_range
+    width = _width(width, (left, ls, le), (right, rs, re))
     a = left.filter(F.col(le) > F.col(ls)).withColumn("_bucket", _buckets(F.col(ls), F.col(le), width))
     b = right.filter(F.col(re) > F.col(rs)).withColumn("_bucket", _buckets(F.col(rs), F.col(re), width))
     later = F.greatest(F.col(ls), F.col(rs))
@@ -125,7 +149,7 @@ def in_regions(
     start: str = "st",
     end: str = "en",
     negate: bool = False,
-    width: int = DEFAULT_WIDTH,
+    width: int | Column | None = None,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """Rows whose point or interval hits any region; ``negate`` keeps the others.
@@ -135,6 +159,7 @@ def in_regions(
     and the semi join needs no distinct. The negated interval form compares
     whole rows, so its columns must be comparable (no maps).
     """
+    width = _width(width, (regions, start, end))
     merged = merge_intervals(regions, keys, start, end).select(
         *keys, F.col(start).alias("_ms"), F.col(end).alias("_me")
     )

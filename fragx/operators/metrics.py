@@ -17,6 +17,15 @@ def _grouped(df: DataFrame, keys: list[str] | None) -> tuple[DataFrame, list[str
     return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
+def _beside(df: DataFrame, one: DataFrame, keys: list[str] | None) -> DataFrame:
+    """``df`` with the columns of ``one`` of its group; without keys ``one`` is a single row, read as a scalar subquery."""
+    if keys:
+        return df.join(one, keys)
+    names = [c for c in one.columns if c != _ALL]
+    row = one.select(F.struct(*names)).scalar()
+    return df.withColumns({c: row[c] for c in names})
+
+
 def score_counts(
     df: DataFrame, score: str, label: str, keys: list[str], weight: str | None = None, positive: int = 1
 ) -> DataFrame:
@@ -60,7 +69,7 @@ def sensitivity_at_specificity(
     """
     curve, by = _grouped(roc_curve(df, score, label, keys), keys)
     totals = curve.groupBy(*by).agg(F.sum("tp_step").alias("_pos"), F.sum("fp_step").alias("_neg"))
-    rates = curve.join(totals, by).withColumn("_fpr", F.coalesce(F.try_divide("fps", "_neg"), F.lit(0.0)))
+    rates = _beside(curve, totals, keys).withColumn("_fpr", F.coalesce(F.try_divide("fps", "_neg"), F.lit(0.0)))
     fits = F.col("_fpr") <= F.lit(1.0 - specificity)
     point = F.struct(
         F.coalesce(F.try_divide("tps", "_pos"), F.lit(0.0)).alias("sensitivity"), (1 - F.col("_fpr")).alias("specificity"),
@@ -133,7 +142,7 @@ def class_metrics(matrix: DataFrame, keys: list[str] | None = None) -> DataFrame
         F.sum("_s.actual").alias("_a"), F.sum("_s.called").alias("_c"), F.sum("_s.tp").alias("_tp")
     )
     totals = grouped.groupBy(*by).agg(F.sum("n").alias("_n"), F.sum(F.when(hit, n).otherwise(0)).alias("_hits"))
-    both = per.join(totals, by)
+    both = _beside(per, totals, keys)
     precision, recall = F.try_divide("_tp", "_c"), F.try_divide("_tp", "_a")
     return both.select(
         *(keys or []), "class", F.try_divide("_hits", "_n").alias("acc_global"),
@@ -153,10 +162,7 @@ def methylation_metrics(df: DataFrame, truth: str, probs: str, keys: list[str] |
     """Two-class metrics with the AUC of the second class."""
     scored = df.withColumn("_yhat", argmax(probs)).withColumn("_p1", F.col(probs)[1])
     per = class_metrics(confusion_matrix(scored, truth, "_yhat", 2, keys), keys)
-    area = auc(scored, "_p1", truth, keys)
-    if keys:
-        return per.join(area, keys)
-    return per.withColumn(_ALL, F.lit(0)).join(area.withColumn(_ALL, F.lit(0)), _ALL).drop(_ALL)
+    return _beside(per, auc(scored, "_p1", truth, keys), keys)
 
 
 def mced_metrics(
@@ -178,9 +184,9 @@ def mced_metrics(
             F.lit(0.0),
         ).alias("f1"),
     )
-    area = auc(grouped, "_p", "_y", by)
-    sens = sensitivity_at_specificity(grouped, "_p", "_y", specificity, by)
-    joined = basic.join(area, by).join(sens, by)
+    area = auc(grouped, "_p", "_y", keys)
+    sens = sensitivity_at_specificity(grouped, "_p", "_y", specificity, keys)
+    joined = _beside(_beside(basic, area, keys), sens, keys)
     return joined.select(
         *(keys or []), "acc", "f1", "auc", F.col("sensitivity").alias("sens_98"), F.col("specificity").alias("spec_98")
     )

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fragx import constants as K
 from fragx.functions import reads as R
 from fragx.functions.common import floor_div
-from fragx.operators.genome import CHUNK, OVERLAP
-from fragx.operators.intervals import point_in_interval_join
+from fragx.operators.genome import CHUNK, OVERLAP, spell
+from fragx.operators.intervals import READ_WIDTH, point_in_interval_join
 from fragx.operators.reads import base_at, expand_alignment, ref_span
 from fragx.operators.skew import DEFAULT_HOT_ROWS, salted_join
 
@@ -16,7 +17,7 @@ SYMBOLS = ["A", "C", "G", "T", "I", "D", "O"]
 
 def pileup_counts(
     reads: DataFrame, chunks: DataFrame, keys: list[str] | None = None, min_mapq: int = 5, min_bq: int = 0,
-    flag_mask: int = 2316, chunk: int = CHUNK, overlap: int = OVERLAP,
+    flag_mask: int = 2316, chunk: int = CHUNK, overlap: int = OVERLAP, proper_pairs: bool = True,
 ) -> DataFrame:
     """Counts per position: ``a c g t ins del other``, ``depth``, ``ref_base`` and ``alt_bases`` (text -> count).
 
@@ -25,12 +26,15 @@ def pileup_counts(
     followed by its base and sequence. Deleted and skipped positions and
     unclear bases are "other". Equal symbols of a position collapse on the map
     side before the shuffle. ``chunks`` come from ``chunk_genome`` with the
-    same ``chunk`` and ``overlap``; a deletion must be shorter than ``overlap``.
+    same ``chunk`` and ``overlap``; a deletion longer than ``overlap`` is spelled
+    over several of them. ``proper_pairs`` leaves out paired reads that are not properly paired.
     Counts meet the genome after they collapsed, at most ``chunk`` positions per
     chunk and group, so that join needs no salts.
     """
     by = [*(keys or []), "contig"]
     kept = reads.filter(R.passes_flag_mask("flag", flag_mask) & (F.col("mapq") >= min_mapq))
+    if proper_pairs:
+        kept = kept.filter(F.col("flag").bitwiseAND(K.FLAG_PAIRED | K.FLAG_PROPER_PAIR) != K.FLAG_PAIRED)
     rows = expand_alignment(kept, by, skips=True)
     if min_bq:
         rows = rows.filter((F.col("kind") != "base") | (F.col("bq") >= min_bq))
@@ -63,11 +67,13 @@ def pileup_counts(
     at = (F.col("pos") - F.col("chunk_start") + 1).cast("int")
     deleted = F.col("t").startswith("-")
     size = F.try_to_number(F.when(deleted, F.expr("substring(t, 2)")), F.lit("999999999")).cast("int") + 1
+    long_ones = located.select("contig", "pos", size.alias("_size")).filter(F.col("_size") > overlap).distinct()
+    spans = spell(long_ones.withColumnRenamed("pos", "_start"), chunks, "contig", "_start", "_size", "_long", chunk)
+    spans = spans.select(F.col("contig").alias("_lc"), F.col("_start").alias("_ls"), F.col("_size").alias("_ln"), "_long")
+    located = located.withColumn("_size", F.when(size > overlap, size))
+    located = located.join(spans, (F.col("contig") == F.col("_lc")) & (F.col("pos") == F.col("_ls")) & (F.col("_size") == F.col("_ln")), "left")
     spelled = F.when(
-        deleted,
-        F.when(size > overlap, F.raise_error(F.lit("deletion longer than the chunk overlap"))).otherwise(
-            F.concat(F.lit("-"), F.upper(F.substring(F.col("chunk_seq"), at, size)))
-        ),
+        deleted, F.concat(F.lit("-"), F.upper(F.coalesce(F.col("_long"), F.substring(F.col("chunk_seq"), at, size))))
     ).otherwise(F.col("t"))
     typed = located.select(
         *by, "pos", F.upper(F.substring(F.col("chunk_seq"), at, F.lit(1))).alias("ref_base"), "s", spelled.alias("t"), "c", "n"
@@ -113,7 +119,7 @@ def candidate_sites(
 
 def base_coverage(
     sites: DataFrame, reads: DataFrame, key: str, site: str = "locus", keys: list[str] | None = None,
-    min_bq: int = 15, flag_mask: int = 1796, hot_rows: int | None = DEFAULT_HOT_ROWS,
+    min_bq: int = 15, flag_mask: int = 1796, hot_rows: int | None = DEFAULT_HOT_ROWS, width: int = READ_WIDTH,
 ) -> DataFrame:
     """A, C, G, T counts at listed sites for bases of quality ``min_bq`` or better.
 
@@ -125,7 +131,7 @@ def base_coverage(
         *by, "contig", F.col("pos").alias("_s"), (F.col("pos") + ref_span("cigar")).alias("_e"), "cigar", "seq", "qual"
     )
     places = sites.select(key, "contig", F.col(site).alias("_site"))
-    hits = point_in_interval_join(places, kept, ["contig"], "_site", "_s", "_e", 50_000, "inner", hot_rows, "right")
+    hits = point_in_interval_join(places, kept, ["contig"], "_site", "_s", "_e", width, "inner", hot_rows, "right")
     picked = hits.select(*by, key, base_at("_s", "cigar", "seq", "qual", F.col("_site")).alias("_b")).filter(
         F.col("_b.bq") >= min_bq
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fragx.functions import reads as R
-from fragx.operators.ordering import row_numbers
 
 
 def qc_reads(reads: DataFrame, min_mapq: int = 30, flag="flag", mapq="mapq") -> DataFrame:
@@ -39,10 +38,9 @@ def pair_mates(
 ) -> DataFrame:
     """Pairs of reads with one name become fragments ``[pos5, pos3)`` with a strand.
 
-    Names with two reads, the normal case, need only minima and maxima: one
-    shuffle with map-side combine and no self-join. Names that occur more often
-    are ranked by (pos, ord) and paired two by two; only those rows take that
-    way. The right end is the right mate's start plus its query length.
+    Reads of a name are ranked by (pos, ord) and paired two by two. One shuffle
+    by name; the reads of one name are few, so each name is sorted where it
+    lands. The right end is the right mate's start plus its query length.
     """
     slim = reads.select(
         *keys,
@@ -52,34 +50,11 @@ def pair_mates(
             F.col(qlen).cast("long").alias("qlen"),
         ).alias("_read"),
     )
-    names = slim.groupBy(*keys, "_name").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_read").alias("_first"), F.max("_read").alias("_second")
-    )
-    two = names.filter(F.col("_n") == 2).select(*keys, "_first", "_second")
-    many = slim.join(names.filter(F.col("_n") > 2).select(*keys, "_name"), [*keys, "_name"], "left_semi")
-    ranked = row_numbers(many, [F.col("_read.pos"), F.col("_read.ord")], [*keys, "_name"])
-    rest = (
-        ranked.withColumn("_pair", F.floor((F.col("rn") - 1) / 2))
-        .groupBy(*keys, "_name", "_pair")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_read").alias("_first"), F.max("_read").alias("_second"))
-        .filter(F.col("_n") == 2)
-        .select(*keys, "_first", "_second")
-    )
-    return _fragments(two.unionByName(rest), keys)
-
-
-def pair_unique_mates(reads: DataFrame, keys: list[str], **columns) -> DataFrame:
-    """``pair_mates`` for names known to occur at most twice; stays fully lazy."""
-    qname, pos = columns.get("qname", "qname"), columns.get("pos", "pos")
-    ord, flag, qlen = columns.get("ord", "rid"), columns.get("flag", "flag"), columns.get("qlen", "qlen")
-    read = F.struct(
-        F.col(pos).cast("long").alias("pos"), F.col(ord).alias("ord"), F.col(flag).alias("flag"),
-        F.col(qlen).cast("long").alias("qlen"),
-    )
-    names = reads.groupBy(*keys, R.base_name(qname).alias("_name")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(read).alias("_first"), F.max(read).alias("_second")
-    )
-    return _fragments(names.filter(F.col("_n") == 2).select(*keys, "_first", "_second"), keys)
+    names = slim.groupBy(*keys, "_name").agg(F.array_sort(F.collect_list("_read")).alias("_reads")).filter(F.size("_reads") > 1)
+    # the reads at 0 and 1, 2 and 3 ...; an odd one at the end stays alone
+    starts = F.sequence(F.lit(0), F.size("_reads") - 2, F.lit(2))
+    paired = F.transform(starts, lambda i: F.struct(F.get("_reads", i).alias("_first"), F.get("_reads", i + 1).alias("_second")))
+    return _fragments(names.select(*keys, F.inline(paired)), keys)
 
 
 def _fragments(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,16 +75,44 @@ def _fragments(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def mark_duplicates(
     reads: DataFrame, keys: list[str], score: str, rid: str = "rid", name: str = "is_duplicate"
 ) -> DataFrame:
-    """Flag all but the best read of every group of copies (same ends and strand).
+    """Flag all but the best read of every group of copies.
 
-    The winner of a group comes from one combined aggregate, and reads meet the
-    winners on their own id, so a huge group of copies stays spread out.
+    ``keys`` name a group: the sample, the contig, ``five_prime`` and the
+    strand (see ``duplicate_keys``); ``score`` is the sum of base qualities. The
+    winner of a group comes from one combined aggregate, and reads meet the
+    winners on group and id, so a huge group of copies stays spread out and
+    reads of other files that share an id are not mixed up.
     """
     winners = reads.groupBy(*keys).agg(
         F.max_by(F.col(rid), F.struct(F.col(score), -F.col(rid))).alias("_best")
     )
-    winners = winners.select(F.col("_best").alias(rid), F.lit(False).alias("_dup"))
-    return reads.join(winners, rid, "left").withColumn(name, F.coalesce("_dup", F.lit(True))).drop("_dup")
+    renamed = winners.select(*[F.col(k).alias(f"_w_{k}") for k in keys], "_best")
+    match = F.col(rid) == F.col("_best")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_w_{k}"))
+    return reads.join(renamed, match, "left").select(*reads.columns, F.col("_best").isNull().alias(name))
+
+
+def duplicate_keys(
+    reads: DataFrame, pos: str = "pos", cigar: str = "cigar", flag: str = "flag", qual: str | None = "qual", min_bq: int = 15
+) -> DataFrame:
+    """``reads`` plus what duplicates share and what the best of them is chosen by.
+
+    ``five_prime``: the 5' end with its clipped bases put back; ``reverse``;
+    ``quality_sum``: the sum of base qualities of ``min_bq`` or better.
+    """
+    reverse = R.has_flag(flag, 16)
+    lead = F.coalesce(F.regexp_extract(cigar, r"^((?:\d+[SH])+)", 1), F.lit(""))
+    tail = F.coalesce(F.regexp_extract(cigar, r"((?:\d+[SH])+)$", 1), F.lit(""))
+    clipped = lambda ops: F.aggregate(
+        F.regexp_extract_all(ops, F.lit(r"(\d+)"), F.lit(1)), F.lit(0).cast("long"), lambda acc, n: acc + n.cast("long")
+    )
+    end = F.when(reverse, F.col(pos) + ref_span(cigar) + clipped(tail) - 1).otherwise(F.col(pos) - clipped(lead))
+    out = reads.withColumn("five_prime", end.cast("long")).withColumn("reverse", reverse)
+    if qual is None:
+        return out
+    total = F.aggregate(F.filter(qual, lambda q: q >= min_bq), F.lit(0).cast("long"), lambda acc, q: acc + q.cast("long"))
+    return out.withColumn("quality_sum", F.coalesce(total, F.lit(0).cast("long")))
 
 
 def fix_mate_info(
@@ -118,7 +121,7 @@ def fix_mate_info(
 ) -> DataFrame:
     """Mate contig, position, strand and signed template length from the partner read.
 
-    ``keys`` name a template. Templates that do not have exactly two reads stay without mate.
+    ``keys`` name a template, its sample included; ids need only differ within it. Templates that do not have exactly two reads stay without mate.
     """
     read = F.struct(
         F.col(pos).cast("long").alias("pos"), F.col(rid).alias("rid"), F.col(contig).alias("contig"),
@@ -141,8 +144,12 @@ def fix_mate_info(
             (span * sign).alias("template_len"),
         )
 
-    mates = pairs.select(F.explode(F.array(side("_a", "_b", 1), side("_b", "_a", -1))).alias("_m")).select("_m.*")
-    return reads.join(mates.withColumnRenamed("rid", rid), rid, "left")
+    mates = pairs.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.explode(F.array(side("_a", "_b", 1), side("_b", "_a", -1))).alias("_m"))
+    match = F.col(rid) == F.col("_m.rid")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    found = ["mate_contig", "mate_pos", "mate_reverse", "template_len"]
+    return reads.join(mates, match, "left").select(*reads.columns, *[F.col(f"_m.{c}").alias(c) for c in found])
 
 
 def ref_span(cigar: Column | str) -> Column:

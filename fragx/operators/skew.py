@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DEFAULT_HOT_ROWS = 2_000_000
+#: None leaves skew to adaptive execution, which splits a hot partition without another pass over the rows.
+DEFAULT_HOT_ROWS: int | None = None
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int) -> DataFrame:

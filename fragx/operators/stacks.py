@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fragx import constants as K
 from fragx.functions import reads as R, sequence as S
 from fragx.operators.genome import CHUNK, OVERLAP, ref_window
-from fragx.operators.intervals import interval_overlap_join
+from fragx.operators.intervals import READ_WIDTH, interval_overlap_join
 from fragx.operators.reads import expand_alignment, ref_span
 from fragx.operators.skew import DEFAULT_HOT_ROWS
 
@@ -26,7 +26,7 @@ def site_windows(
 
 
 def reads_around_sites(
-    windows: DataFrame, reads: DataFrame, columns: list[str], width: int = 10_000,
+    windows: DataFrame, reads: DataFrame, columns: list[str], width: int = READ_WIDTH,
     hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """Every site window with the reads that overlap it; ``columns`` of the read are carried along."""
@@ -90,16 +90,18 @@ def fragment_events(rows: DataFrame, site: list[str]) -> DataFrame:
 
 def fragment_consensus_simple(
     pairs: DataFrame, site: list[str], half_window: int = 256, half_core: int = 32, fragment: str = "qname",
-    ord: str = "rid",
+    ord: str = "rid", max_reads: int | None = None,
 ) -> DataFrame:
-    """Window text per fragment: only aligned bases, the second mate overwrites, gaps inside a pair are ``x``.
+    """Window text per fragment: only aligned bases, later reads overwrite, gaps inside a fragment of several reads are ``x``.
 
-    Fragments of 20 to 600 bases count, the first two reads of each; a fragment
-    stays when it shows anything within the core around the centre.
+    Fragments of 20 to 600 bases count, with all their reads or the first
+    ``max_reads`` of each where the caller says so; a fragment stays when it shows anything within the core around the centre.
     """
     ok = pairs.filter(R.fragment_length_ok("tlen"))
     nth = F.row_number().over(Window.partitionBy(*site, fragment).orderBy(ord))
-    two = ok.withColumn("_nth", nth).filter("_nth <= 2")
+    two = ok.withColumn("_nth", nth)
+    if max_reads is not None:
+        two = two.filter(F.col("_nth") <= max_reads)
     rows = expand_alignment(two, [*site, "ws", fragment, "_nth"], window=("ws", "we")).filter("kind = 'base'")
     per_base = rows.groupBy(*site, fragment, (F.col("ref_pos") - F.col("ws")).cast("int").alias("offset")).agg(
         F.max_by("base", "_nth").alias("base")
@@ -109,7 +111,7 @@ def fragment_consensus_simple(
         F.map_from_entries(F.collect_list(F.struct("offset", "base"))).alias("_m"), F.min("offset").alias("_lo"),
         F.max("offset").alias("_hi"),
     ).join(mates, [*site, fragment])
-    gap = lambda i: F.when((F.col("_n") == 2) & (i > F.col("_lo")) & (i < F.col("_hi")), "x").otherwise(".")
+    gap = lambda i: F.when((F.col("_n") >= 2) & (i > F.col("_lo")) & (i < F.col("_hi")), "x").otherwise(".")
     text = F.array_join(
         F.transform(
             F.sequence(F.lit(0), F.lit(2 * half_window - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), gap(i))
@@ -127,9 +129,11 @@ def touches_core(rows: DataFrame, site: list[str], center: Column, half_core: in
 
 
 def cap_depth(
-    rows: DataFrame, site: list[str], limit: int, order: str = "ord", seed: int | None = None, fragment: str = "fragment"
+    rows: DataFrame, site: list[str], limit: int | None, order: str = "ord", seed: int | None = None, fragment: str = "fragment"
 ) -> DataFrame:
-    """Rows of at most ``limit`` fragments per site: the first ones, or with ``seed`` a repeatable random choice.
+    """Rows with the rank of their fragment in its site; with ``limit`` only those of so many fragments.
+
+    Fragments come in order of appearance, or with ``seed`` in a repeatable random order.
 
     The rank window is cut to ``limit`` rows per site and task before the
     shuffle (Spark's window group limit), so a very deep site stays small.
@@ -138,7 +142,9 @@ def cap_depth(
     key = F.col("_o") if seed is None else F.xxhash64(F.col(fragment), F.lit(seed))
     ranked = heads.withColumn(
         "row", F.row_number().over(Window.partitionBy(*site).orderBy(key, F.col("_o"), F.col(fragment)))
-    ).filter(F.col("row") <= limit)
+    )
+    if limit is not None:
+        ranked = ranked.filter(F.col("row") <= limit)
     return rows.join(ranked.drop("_o"), [*site, fragment])
 
 
@@ -226,16 +232,17 @@ def profile_arrays(profile: DataFrame, site: list[str], size: int, types: list[s
 
 
 def site_examples(
-    consensus: DataFrame, events: DataFrame, windows: DataFrame, site: list[str], size: int, max_seqs: int,
+    consensus: DataFrame, events: DataFrame, windows: DataFrame, site: list[str], size: int, max_seqs: int | None = None,
     max_len: int | None = None, types: list[str] | None = None, seed: int | None = None, pad: bool = True,
     vocab: dict[str, int] | None = None,
 ) -> DataFrame:
     """Model-ready row per site: token, insertion-token, strand and quality rows, and the profile.
 
-    Row 0 is the reference with zero strand and quality. At most ``max_seqs``
-    fragments follow in order of appearance (or a seeded choice), so a row is
-    bounded by (max_seqs + 1) x size. Columns longer than ``max_len`` are cut to
-    the middle; ``pad`` fills up to ``max_seqs`` fragments with pad tokens and strand 3.
+    Row 0 is the reference with zero strand and quality. All fragments follow in
+    order of appearance. Only where the caller gives ``max_seqs`` are there so
+    many at most (the first, or a seeded choice), and then ``pad`` fills up to
+    that number with pad tokens and strand 3. Columns longer than ``max_len``
+    are cut to the middle.
     """
     vocab = vocab or S.vocabulary()
     capped = cap_depth(consensus, site, max_seqs, seed=seed)
@@ -282,7 +289,7 @@ def site_examples(
 
     def column(name):
         values = F.transform("_rows", lambda r: r[name])
-        if pad:
+        if pad and max_seqs is not None:
             short = F.lit(max_seqs + 1) - F.size("_rows")
             values = F.concat(values, F.array_repeat(fill[name], short))
         return values.alias(name)

@@ -13,12 +13,14 @@ from fragx.session import materialize
 
 
 def call_methylation(
-    reads: DataFrame, sites: DataFrame, chunks: DataFrame, predict: Callable, flank: int = 128, max_seqs: int = 48,
+    reads: DataFrame, sites: DataFrame, chunks: DataFrame, predict: Callable, flank: int = 128, max_seqs: int | None = None,
     max_len: int = 256, min_bq: int = 15, min_depth: int = 3, seed: int = 42,
 ) -> DataFrame:
     """Call rows (chr, position, probability, depth) for the sites (contig, locus) that have enough reads.
 
-    ``predict`` maps a pandas frame of examples to two logits per site.
+    ``predict`` maps a pandas frame of examples to two logits per site. All
+    fragments of a site reach it; with ``max_seqs`` an example has so many rows
+    at most, the reference and ``max_seqs`` - 1 fragments.
     """
     named = sites.select(F.concat_ws(":", "contig", F.col("locus").cast("string")).alias("site"), "contig", "locus")
     chosen = M.select_candidates(C.base_coverage(named, reads, "site", min_bq=min_bq), 1, min_depth)
@@ -27,7 +29,8 @@ def call_methylation(
     rows = materialize(T.stack_rows(pairs, ["contig", "locus"]))
     consensus = T.fragment_consensus(rows, ["contig", "locus"])
     examples = T.site_examples(
-        consensus, T.fragment_events(rows, ["contig", "locus"]), windows, ["contig", "locus"], 2 * flank, max_seqs,
+        consensus, T.fragment_events(rows, ["contig", "locus"]), windows, ["contig", "locus"], 2 * flank,
+        None if max_seqs is None else max_seqs - 1,
         max_len=max_len, seed=seed,
     )
     depth = consensus.groupBy("contig", "locus").agg(F.count_distinct("fragment").alias("depth"))

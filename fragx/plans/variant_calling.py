@@ -25,7 +25,7 @@ def candidates(
 
 def call_from_reads(
     reads: DataFrame, chunks: DataFrame, predict: Callable, regions: DataFrame | None = None, flank: int = 16,
-    max_seqs: int = 56, haploid: list[str] | None = None, **options,
+    max_seqs: int | None = None, haploid: list[str] | None = None, **options,
 ) -> DataFrame:
     """Records of one sample: ``predict`` maps a pandas frame of examples to 24 probabilities per site."""
     found = materialize(candidates(reads, chunks, regions, **options))
