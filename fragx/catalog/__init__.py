@@ -6,7 +6,7 @@ import importlib
 
 from fragx.catalog.registry import ORACLES, QUERIES
 
-FAMILIES = ["reads", "intervals", "bins", "endmotif", "methylation", "variants", "pileup", "scoring", "cna", "features", "shaping", "streams"]
+FAMILIES = ["reads", "intervals", "bins", "endmotif", "methylation", "variants", "pileup", "scoring", "cna", "features", "shaping", "streams", "sources"]
 
 for _family in FAMILIES:
     importlib.import_module(f"fragx.catalog.{_family}")

@@ -120,16 +120,17 @@ def strand_of_pair(spark, sf_dir):
 
 @register(
     "mark_duplicates",
-    """SELECT rid, ROW_NUMBER() OVER (PARTITION BY contig, b, strand ORDER BY mapq DESC, rid) > 1 AS is_duplicate
-    FROM (SELECT *, CAST(FLOOR(pos / 2000) AS BIGINT) AS b, (flag & 16) <> 0 AS strand FROM reads) r""",
+    """SELECT rid, ROW_NUMBER() OVER (PARTITION BY sample_id, contig, CAST(FLOOR(five_prime / 2000.0) AS BIGINT), reverse ORDER BY quality_sum DESC, rid) > 1 AS is_duplicate,
+     five_prime, quality_sum FROM
+    (SELECT rid, sample_id, contig, (flag & 16) <> 0 AS reverse, CAST(list_sum(list_filter(qual, lambda q: q >= 15)) AS BIGINT) AS quality_sum,
+     CASE WHEN (flag & 16) <> 0 THEN pos + CASE cigar WHEN '5S95M' THEN 95 WHEN '60M2D40M' THEN 102 WHEN '50M3I47M' THEN 97 WHEN '95M5S' THEN 100
+       WHEN '30M10N70M' THEN 110 ELSE 100 END - 1 ELSE pos - CASE cigar WHEN '5S95M' THEN 5 ELSE 0 END END AS five_prime FROM aligned) r""",
 )
 def mark_duplicates(spark, sf_dir):
-    from fragx.functions.common import floor_div
-
-    keyed = reads(spark, sf_dir).select(
-        "rid", "contig", floor_div("pos", 2000).alias("b"), R.has_flag("flag", 16).alias("strand"), "mapq"
-    )
-    return ops.mark_duplicates(keyed, ["contig", "b", "strand"], "mapq").select("rid", "is_duplicate")
+    # ends are taken together over 2 000 bases, so that the test reads have copies
+    keyed = ops.duplicate_keys(table(spark, sf_dir, "aligned")).withColumn("place", F.floor(F.col("five_prime") / 2000))
+    marked = ops.mark_duplicates(keyed, ["sample_id", "contig", "place", "reverse"], "quality_sum")
+    return marked.select("rid", "is_duplicate", "five_prime", "quality_sum")
 
 
 @register(
@@ -143,16 +144,6 @@ def fix_mate_info(spark, sf_dir):
     return ops.fix_mate_info(r, ["qname"]).select("rid", "mate_contig", "mate_pos", "mate_reverse", "template_len")
 
 
-@register(
-    "write_by_contig_counts",
-    "SELECT contig, COUNT(*) AS n, MIN(pos) AS first_pos, MAX(pos) AS last_pos FROM reads GROUP BY contig",
-)
-def write_by_contig_counts(spark, sf_dir):
-    return reads(spark, sf_dir).groupBy("contig").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")
-    )
-
-
 @register(
     "rev_comp",
     "SELECT contig, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM genome",

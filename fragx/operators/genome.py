@@ -27,6 +27,24 @@ def chunk_genome(
     )
 
 
+def chunks_of_lines(lines: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """The chunks of ``chunk_genome`` from sequence lines (contig, offset, bases); no row is longer than a chunk.
+
+    A line goes to the one or two chunks that show a part of it, and a chunk
+    gathers at most ``chunk + overlap`` bases.
+    """
+    end = F.col("offset") + F.length("bases")
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("offset") - (chunk + overlap) + 1) / F.lit(chunk)).cast("long"))
+    parts = lines.select("contig", "offset", "bases", F.explode(F.sequence(first, floor_div(end - 1, chunk))).alias("chunk_id"))
+    start = F.col("chunk_id") * chunk
+    lo, hi = F.greatest(F.col("offset"), start), F.least(end, start + chunk + overlap)
+    piece = F.substring(F.col("bases"), (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int"))
+    packed = parts.groupBy("contig", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("offset", piece.alias("t")))).alias("_p"))
+    # the last chunk of a contig may show only what the one before it overlaps; it then has no start of its own
+    text = F.array_join(F.transform("_p", lambda p: p["t"]), "")
+    return packed.select("contig", "chunk_id", (F.col("chunk_id") * chunk).alias("chunk_start"), text.alias("chunk_seq"))
+
+
 def spell(
     spans: DataFrame, chunks: DataFrame, contig: str, start: str, size: str, name: str, chunk: int = CHUNK
 ) -> DataFrame:

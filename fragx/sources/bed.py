@@ -41,6 +41,12 @@ def read_bed(
     return checked.select("contig", "st", "en", "other")
 
 
+def write_bed(regions: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """BED text: contig, start, end and the named further columns."""
+    fields = ["contig", "st", "en", *(columns or [])]
+    regions.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in fields]).alias("value")).write.mode("overwrite").text(path)
+
+
 def header_fields(spark: SparkSession, path: str) -> list[str] | None:
     """Payload names from the last ``#`` header line; null when there is none or the count differs from the rows."""
     heads = spark.read.text(path).filter(F.col("value").startswith("#")).withColumn("i", F.monotonically_increasing_id())

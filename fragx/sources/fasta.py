@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fragx.operators.ordering import row_numbers
+from fragx.operators.ordering import row_numbers, running_totals
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], rename: bool = True) -> DataFrame:
@@ -30,6 +30,24 @@ def read_fasta(spark: SparkSession, path: str | list[str], rename: bool = True)
     return _rename_repeats(rows) if rename else rows
 
 
+def read_fasta_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(contig, offset, bases): the sequence lines of all records with their place in the record.
+
+    No row is longer than a line, so a chromosome is spread over many tasks:
+    records are numbered by a running count of header lines, and offsets are
+    running totals of line lengths, both by slices of the file. Blank and ``#``
+    lines drop out.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), F.trim("value").alias("line"))
+    lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    header = F.col("line").startswith(">")
+    numbered = running_totals(lines, {"record": F.when(header, 1).otherwise(0).cast("long")}, [F.col("ord")], ["file"])
+    names = numbered.filter(header).select("file", "record", F.regexp_extract("line", r"^>(\S+)", 1).alias("contig"))
+    bases = numbered.filter(~header & (F.col("record") > 0))
+    placed = running_totals(bases, {"end": F.length("line").cast("long")}, [F.col("ord")], ["file", "record"])
+    return placed.join(names, ["file", "record"]).select("contig", (F.col("end") - F.length("line")).alias("offset"), F.col("line").alias("bases"))
+
+
 def _rename_repeats(rows: DataFrame) -> DataFrame:
     """Only repeated ids are numbered, over all repeats of the file in order."""
     first = rows.groupBy("id").agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n"))
