@@ -27,14 +27,18 @@ def site_windows(
 
 def reads_around_sites(
     windows: DataFrame, reads: DataFrame, columns: list[str], width: int = READ_WIDTH,
-    hot_rows: int | None = DEFAULT_HOT_ROWS,
+    hot_rows: int | None = DEFAULT_HOT_ROWS, keys: list[str] | None = None,
 ) -> DataFrame:
-    """Every site window with the reads that overlap it; ``columns`` of the read are carried along."""
+    """Every site window with the reads that overlap it; ``columns`` of the read are carried along.
+
+    ``keys`` (the sample) stand on both sides, and a window meets only reads of its own.
+    """
+    by = [*(keys or []), "contig"]
     carried = list(dict.fromkeys([*columns, "pos", "cigar"]))
     spans = reads.filter(~R.has_flag("flag", K.FLAG_UNMAPPED)).select(
-        "contig", *carried, (F.col("pos") + ref_span("cigar")).alias("_re")
+        *by, *carried, (F.col("pos") + ref_span("cigar")).alias("_re")
     )
-    return interval_overlap_join(windows, spans, ["contig"], ("ws", "we"), ("pos", "_re"), width, hot_rows).drop("_re")
+    return interval_overlap_join(windows, spans, by, ("ws", "we"), ("pos", "_re"), width, hot_rows).drop("_re")
 
 
 def stack_rows(pairs: DataFrame, site: list[str], joint: bool = True, fragment: str = "qname", ord: str = "rid") -> DataFrame:

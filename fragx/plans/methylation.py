@@ -14,28 +14,36 @@ from fragx.session import materialize
 
 def call_methylation(
     reads: DataFrame, sites: DataFrame, chunks: DataFrame, predict: Callable, flank: int = 128, max_seqs: int | None = None,
-    max_len: int = 256, min_bq: int = 15, min_depth: int = 3, seed: int = 42,
+    max_len: int = 256, min_bq: int = 15, min_depth: int = 3, seed: int = 42, keys: list[str] | None = None,
 ) -> DataFrame:
     """Call rows (chr, position, probability, depth) for the sites (contig, locus) that have enough reads.
 
     ``predict`` maps a pandas frame of examples to two logits per site. All
-    fragments of a site reach it; with ``max_seqs`` an example has so many rows
+    fragments of a site reach it. ``keys`` (the sample) keep the reads of many
+    samples apart in one run and lead the rows that ``predict`` gets and returns; with ``max_seqs`` an example has so many rows
     at most, the reference and ``max_seqs`` - 1 fragments.
     """
     named = sites.select(F.concat_ws(":", "contig", F.col("locus").cast("string")).alias("site"), "contig", "locus")
-    chosen = M.select_candidates(C.base_coverage(named, reads, "site", min_bq=min_bq), 1, min_depth)
-    windows = materialize(T.site_windows(chosen.select("contig", "locus"), chunks, flank - 1, flank + 1))
-    pairs = T.reads_around_sites(windows, reads, ["rid", "qname", "flag", "mapq", "seq", "qual"])
-    rows = materialize(T.stack_rows(pairs, ["contig", "locus"]))
-    consensus = T.fragment_consensus(rows, ["contig", "locus"])
+    by = list(keys or [])
+    site = [*by, "contig", "locus"]
+    covered = C.base_coverage(named, reads, "site", keys=by, min_bq=min_bq)
+    if by:
+        covered = covered.join(named, "site")
+    chosen = M.select_candidates(covered, 1, min_depth)
+    windows = materialize(T.site_windows(chosen.select(*site), chunks, flank - 1, flank + 1))
+    pairs = T.reads_around_sites(windows, reads, ["rid", "qname", "flag", "mapq", "seq", "qual"], keys=by)
+    rows = materialize(T.stack_rows(pairs, site))
+    consensus = T.fragment_consensus(rows, site)
     examples = T.site_examples(
-        consensus, T.fragment_events(rows, ["contig", "locus"]), windows, ["contig", "locus"], 2 * flank,
+        consensus, T.fragment_events(rows, site), windows, site, 2 * flank,
         None if max_seqs is None else max_seqs - 1,
         max_len=max_len, seed=seed,
     )
-    depth = consensus.groupBy("contig", "locus").agg(F.count_distinct("fragment").alias("depth"))
-    scored = map_batches(examples, predict, "contig string, locus bigint, logits array<double>")
-    joined = scored.join(depth, ["contig", "locus"]).withColumn("probs", P.softmax("logits"))
+    depth = consensus.groupBy(*site).agg(F.count_distinct("fragment").alias("depth"))
+    types = dict(windows.dtypes)
+    scored = map_batches(examples, predict, ", ".join(f"{c} {types[c]}" for c in site) + ", logits array<double>")
+    joined = scored.join(depth, site).withColumn("probs", P.softmax("logits"))
     return M.methylation_calls(
-        joined.select(F.col("contig").alias("chr"), F.col("locus").alias("position"), "probs", "depth")
+        joined.select(*by, F.col("contig").alias("chr"), F.col("locus").alias("position"), "probs", "depth"),
+        keys=(*by, "chr", "position"),
     )

@@ -25,20 +25,26 @@ def candidates(
 
 def call_from_reads(
     reads: DataFrame, chunks: DataFrame, predict: Callable, regions: DataFrame | None = None, flank: int = 16,
-    max_seqs: int | None = None, haploid: list[str] | None = None, **options,
+    max_seqs: int | None = None, haploid: list[str] | None = None, keys: list[str] | None = None,
+    **options,
 ) -> DataFrame:
-    """Records of one sample: ``predict`` maps a pandas frame of examples to 24 probabilities per site."""
-    found = materialize(candidates(reads, chunks, regions, **options))
-    site = ["contig", "pos"]
+    """Variant records: ``predict`` maps a pandas frame of examples to 24 probabilities per site.
+
+    ``keys`` (the sample) keep the reads of many samples apart in one run and
+    lead the rows that ``predict`` gets and returns.
+    """
+    by = list(keys or [])
+    found = materialize(candidates(reads, chunks, regions, by, **options))
+    site, place = [*by, "contig", "pos"], [*by, "contig", "locus"]
     windows = T.site_windows(found.select(*site), chunks, flank, flank + 1, pos="pos")
     # The site position is carried under its own name: the reads have a ``pos`` of their own.
     windows = materialize(windows.withColumnRenamed("pos", "locus"))
-    pairs = T.reads_around_sites(windows, reads, ["rid", "qname", "flag", "mapq", "seq", "qual"])
-    rows = materialize(T.stack_rows(pairs, ["contig", "locus"]))
+    pairs = T.reads_around_sites(windows, reads, ["rid", "qname", "flag", "mapq", "seq", "qual"], keys=by)
+    rows = materialize(T.stack_rows(pairs, place))
     examples = T.site_examples(
-        T.fragment_consensus(rows, ["contig", "locus"]), T.fragment_events(rows, ["contig", "locus"]), windows,
-        ["contig", "locus"], 2 * flank + 1, max_seqs,
+        T.fragment_consensus(rows, place), T.fragment_events(rows, place), windows, place, 2 * flank + 1, max_seqs,
     )
-    scored = map_batches(examples, predict, "contig string, locus bigint, probs array<double>")
+    types = dict(windows.dtypes)
+    scored = map_batches(examples, predict, ", ".join(f"{c} {types[c]}" for c in place) + ", probs array<double>")
     sites = found.join(scored.withColumnRenamed("locus", "pos"), site)
-    return C.call_variants(sites, haploid=haploid)
+    return C.call_variants(sites, haploid=haploid, keys=by)

@@ -1,11 +1,13 @@
 """Operators against brute force and hand-made examples, with skewed inputs where skew matters."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fragx.operators import bins, cna, intervals, methylation, metrics, ordering, reads, shaping, stacks, variants
+from fragx.operators import bins, cna, genome, intervals, methylation, metrics, ordering, pileup, reads, shaping, stacks, variants
 from fragx.operators.skew import salted_join
 
 
@@ -276,3 +278,51 @@ def test_blend_and_shards(spark):
     few = shaping.shard_strided(spark.range(2), [F.col("id")], 7, pad=True)
     assert sorted(r.shard for r in few.collect()) == list(range(7))
     assert shaping.shard_strided(ids, [F.col("id")], 4, drop_last=True).count() == 8
+
+
+def test_candidate_pairs_stay_near_the_hits(spark):
+    """150-base reads at high depth against dense sites: buckets of read width meet at most three times the hits."""
+    from fragx.functions.common import floor_div
+
+    rng = random.Random(5)
+    spans = [(i, "c", p, p + 150) for i, p in enumerate(rng.randrange(0, 20_000) for _ in range(4000))]
+    sites = [(i, "c", p) for i, p in enumerate(range(0, 20_000, 40))]
+    r = spark.createDataFrame(spans, "rid int, contig string, st long, en long")
+    s = spark.createDataFrame(sites, "sid int, contig string, pos long")
+    hits = intervals.point_in_interval_join(s, r, ["contig"], width=intervals.READ_WIDTH).count()
+    assert hits == sum(st <= p < en for _, _, st, en in spans for _, _, p in sites)
+    buckets = r.select(F.explode(F.sequence(floor_div("st", intervals.READ_WIDTH), floor_div(F.col("en") - 1, intervals.READ_WIDTH))).alias("b"))
+    candidates = buckets.join(s.select(floor_div("pos", intervals.READ_WIDTH).alias("b")), "b").count()
+    assert candidates <= 3 * hits
+    assert intervals.point_in_interval_join(s, r, ["contig"]).count() == hits
+
+
+def test_names_with_many_reads_pair_two_by_two(spark):
+    data = [(i, "q", "c", 100 + 10 * i, 99 if i % 2 == 0 else 147, 50) for i in range(5)] + [(9, "r", "c", 5, 99, 50)]
+    frame = spark.createDataFrame(data, "rid int, qname string, contig string, pos long, flag int, qlen int")
+    got = sorted((r.pos5, r.pos3) for r in reads.pair_mates(frame, ["contig"]).collect())
+    assert got == [(100, 160), (120, 180)]
+
+
+def test_duplicates_of_two_files_with_equal_ids(spark):
+    data = [(0, s, "c", 100, f"{k}S{90 - k}M", 0, [q] * 90) for s, k, q in (("a", 0, 20), ("b", 5, 30))]
+    data += [(1, "a", "c", 105, "5S85M", 0, [30] * 90), (2, "a", "c", 100, "85M5S", 16, [30] * 90), (3, "a", "c", 110, "80M", 16, [10] * 80)]
+    frame = spark.createDataFrame(data, "rid int, sample_id string, contig string, pos long, cigar string, flag int, qual array<int>")
+    keyed = reads.duplicate_keys(frame)
+    marked = reads.mark_duplicates(keyed, ["sample_id", "contig", "five_prime", "reverse"], "quality_sum").collect()
+    assert sorted((r.sample_id, r.rid, r.five_prime, r.quality_sum, r.is_duplicate) for r in marked) == [
+        ("a", 0, 100, 1800, True), ("a", 1, 100, 2700, False), ("a", 2, 189, 2700, False), ("a", 3, 189, 0, True), ("b", 0, 95, 2700, False),
+    ]
+
+
+def test_long_deletions_are_spelled_over_chunks(spark):
+    rng = random.Random(6)
+    text = "".join(rng.choice("ACGT") for _ in range(200))
+    chunks = genome.chunk_genome(spark.createDataFrame([("c", text)], "contig string, seq string"), 20, 5)
+    read = text[10:30] + text[95:115]
+    data = [(i, f"q{i}", 0, "c", 10, 60, "20M65D20M", read, [30] * 40) for i in range(3)]
+    frame = spark.createDataFrame(data, "rid int, qname string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual array<int>")
+    at = {r.pos: r for r in pileup.pileup_counts(frame, chunks, chunk=20, overlap=5).collect()}
+    assert at[29].alt_bases["-" + text[29 : 29 + 66]] == 3
+    wide = genome.ref_window(spark.createDataFrame([("c", 100)], "contig string, pos long"), chunks, 50, 40, chunk=20, overlap=5).first()
+    assert wide.window == text[50:140]

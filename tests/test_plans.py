@@ -66,6 +66,31 @@ def test_methylation_calls(spark, sample):
     assert [(r.chr, r.position, round(r.probability, 6), r.depth) for r in got] == [("chr1", c, 0.75, 20)]
 
 
+def test_many_samples_in_one_run_equal_single_runs(spark, sample):
+    reads, chunks = sample
+    other = reads.filter("rid % 4 < 2").withColumn("mapq", F.lit(50))  # fewer reads, the same ids and names
+    both = reads.withColumn("sample_id", F.lit("a")).unionByName(other.withColumn("sample_id", F.lit("b")))
+    c = REF.index("C", 45)
+    sites = spark.createDataFrame([("chr1", c), ("chr1", 2)], "contig string, locus bigint")
+
+    def logits(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.array([0.0, float(len(t))]) for t in batch["tokens"]]
+        return batch[[x for x in ("sample_id", "contig", "locus") if x in batch]].assign(logits=rows)
+
+    def probs(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.full(24, 1 / 24)] * len(batch)
+        return batch[[x for x in ("sample_id", "contig", "locus") if x in batch]].assign(probs=rows)
+
+    options = {"flank": 20, "max_len": 30}
+    one = {(n, *r) for n, part in (("a", reads), ("b", other)) for r in methylation.call_methylation(part, sites, chunks, logits, **options).collect()}
+    many = methylation.call_methylation(both, sites, chunks, logits, keys=["sample_id"], **options).collect()
+    assert {tuple(r) for r in many} == one and len(one) == 2
+    text = lambda n, r: (n, r.contig, r.pos, r.DP, str(r.alleles), str(r.AD), r.GT)
+    one = {text(n, r) for n, part in (("a", reads), ("b", other)) for r in variant_calling.call_from_reads(part, chunks, probs, flank=8).collect()}
+    many = variant_calling.call_from_reads(both, chunks, probs, flank=8, keys=["sample_id"]).collect()
+    assert {text(r.sample_id, r) for r in many} == one and one
+
+
 def test_end_motif_counts_equal_fragments_once(spark, sample):
     reads, _ = sample
     regions = spark.createDataFrame(
