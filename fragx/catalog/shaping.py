@@ -44,6 +44,11 @@ def batches(spark, sf_dir):
     return H.batches(docs(spark, sf_dir).select("doc_id"), [F.col("doc_id")], 48, drop_last=True)
 
 
+@register("batches_all", "SELECT doc_id, CAST((ROW_NUMBER() OVER (ORDER BY doc_id) - 1) // 48 AS BIGINT) AS batch FROM documents")
+def batches_all(spark, sf_dir):
+    return H.batches(docs(spark, sf_dir).select("doc_id"), [F.col("doc_id")], 48)
+
+
 @register(
     "chunk_documents",
     """SELECT doc_id, CAST(k AS BIGINT) AS chunk, CAST(LEAST(k * 256, GREATEST(n_chars - 2 - 256, 0)) AS BIGINT) AS "offset" FROM
@@ -102,19 +107,39 @@ def encode_chars(spark, sf_dir):
     return g.select("contig", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
 
 
+@register(
+    "encode_chars_whole",
+    """SELECT contig, array_to_string(list_concat([0], list_transform(string_split(seq, ''), lambda c: CASE c WHEN 'A' THEN 4 WHEN 'C' THEN 5 WHEN 'G' THEN 6 WHEN 'T' THEN 7 ELSE 3 END), [2]), ' ') AS ids
+      FROM genome g WHERE seq <> ''""",
+)
+def encode_chars_whole(spark, sf_dir):
+    g = table(spark, sf_dir, "genome").filter(F.col("seq") != "")
+    ids = S.encode_chars("seq", bos=True, eos=True)
+    return g.select("contig", F.array_join(F.transform(ids, lambda i: i.cast("string")), " ").alias("ids"))
+
+
 @register("decode_tokens", "SELECT contig, seq AS text FROM genome")
 def decode_tokens(spark, sf_dir):
     g = table(spark, sf_dir, "genome")
     return g.select("contig", S.decode_tokens(S.encode_chars("seq")).alias("text"))
 
 
-@register("shuffle_rows")
+@register("shuffle_rows", "SELECT doc_id, n_chars, lang, ROW_NUMBER() OVER (ORDER BY md5(CONCAT(CAST(doc_id AS VARCHAR), ':7')), doc_id) AS place FROM documents")
 def shuffle_rows(spark, sf_dir):
-    return O.shuffle_rows(docs(spark, sf_dir), "doc_id", 7)
+    shuffled = O.shuffle_rows(docs(spark, sf_dir), "doc_id", 7)
+    return O.row_numbers(shuffled, [O.shuffle_key("doc_id", 7), F.col("doc_id")], name="place")
 
 
-@register("blend")
+@register(
+    "blend",
+    """WITH s AS (SELECT 0 AS source, doc_id AS id, LENGTH(text) AS size, ROW_NUMBER() OVER (ORDER BY doc_id) AS rn, COUNT(*) OVER () AS n, 1.0::DOUBLE AS w, 0.0::DOUBLE AS start FROM documents
+      UNION ALL SELECT 1, item_id, LENGTH(text), ROW_NUMBER() OVER (ORDER BY item_id), COUNT(*) OVER (), 3.0::DOUBLE, (SELECT COUNT(*) FROM documents)::DOUBLE FROM benchmark),
+     d AS (SELECT draw, CAST(CONCAT('0x', substring(md5(CONCAT(CAST(draw AS VARCHAR), ':42')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE
+       * ((SELECT COUNT(*) FROM documents) + 3.0 * (SELECT COUNT(*) FROM benchmark))::DOUBLE AS u FROM range((SELECT COUNT(*) FROM s)) r(draw))
+     SELECT d.draw, CAST(s.source AS INTEGER) AS source, s.id, CAST(s.size AS BIGINT) AS size FROM d JOIN s ON s.source = CASE WHEN d.u < (SELECT COUNT(*) FROM documents) THEN 0 ELSE 1 END
+      AND s.rn = LEAST(CAST(FLOOR((d.u - s.start) / s.w) AS BIGINT), s.n - 1) + 1""",
+)
 def blend(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"))
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").alias("size"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("size"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("long").alias("size"))
     return H.blend(spark, [d, b], [1.0, 3.0], [F.col("id")])

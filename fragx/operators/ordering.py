@@ -89,6 +89,11 @@ def top_ratio(
     return ranked.join(counts, keys).filter(F.col("rn") <= F.col("_keep")).drop("rn", "_keep")
 
 
+def shuffle_key(key: str, seed: int = 42) -> Column:
+    """A seeded hash of the key that any engine with MD5 repeats."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A repeatable permutation by a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    return df.orderBy(shuffle_key(key, seed), F.col(key))

@@ -112,7 +112,8 @@ def blend(
         num_samples = sum(counts)
     mass = [c * w for c, w in zip(counts, weights)]
     total = sum(mass)
-    unit = (F.pmod(F.xxhash64(F.col("draw"), F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)) * total
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10)
+    unit = drawn.cast("long").cast("double") / float(1 << 52) * total
     draws = spark.range(num_samples).select(F.col("id").alias("draw")).withColumn("_u", unit)
     source, rown, begin = F.lit(None).cast("int"), F.lit(None).cast("long"), 0.0
     for i, (count, weight, m) in enumerate(zip(counts, weights, mass)):
