@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fragx.catalog.features import WANTED, families, meta
 from fragx.catalog.registry import register
-from fragx.catalog.scoring import observed
+from fragx.catalog.scoring import OBSERVED, observed
 from fragx.fixtures import table
 from fragx.functions import probability as P
 from fragx.functions.common import round6
@@ -62,7 +62,7 @@ def stream_call_sink(spark, sf_dir):
 
 
 def _linear(batch: pd.DataFrame) -> pd.DataFrame:
-    """A stand-in for a trained model: a fixed linear map with softmax."""
+    """A stand-in for a trained model, for the plan around it only: a fixed linear map with softmax."""
     x = np.log1p(np.abs(np.stack(batch["features"].to_numpy())))
     logits = x @ np.sin(np.arange(1, x.shape[1] * 11 + 1)).reshape(x.shape[1], 11)
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -77,6 +77,7 @@ def score_samples(spark, sf_dir):
 
 
 def _mean_logits(batch: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in for a trained model: two means of the vector."""
     x = np.stack(batch["embedding"].to_numpy()).astype(float)
     logits = np.stack([x[:, ::2].mean(axis=1), x[:, 1::2].mean(axis=1)], axis=1)
     return pd.DataFrame({"vec_id": batch["vec_id"], "label": batch["label"], "logits": list(logits)})
@@ -138,7 +139,15 @@ def grid_search(spark, sf_dir):
     return scored.select("vec_id", "label", F.posexplode("probs").alias("idx", "p")).withColumn("p", round6("p"))
 
 
-@register("call_variants_haploid")
+HAPLOID = {**OBSERVED, "chosen": OBSERVED["chosen"].replace("WHERE alleles IS NOT NULL", "WHERE alleles IS NOT NULL AND gt NOT IN ('0/1', '1/2')")}
+
+
+@register(
+    "call_variants_haploid",
+    """SELECT c.vec_id, array_to_string(alleles, ',') AS alleles, ROUND(p * 100, 2) AS qual, CASE WHEN gt = '0/0' THEN 'RefCall' WHEN ROUND(p * 100, 2) > 55.0 THEN 'PASS' ELSE 'LowQual' END AS filt,
+      gt AS "GT", CAST(trunc(LEAST(GREATEST(list_sort(l.n)[2], 0), 99)) AS INT) AS "GQ", dp AS "DP" FROM chosen c JOIN pl l ON l.vec_id = c.vec_id JOIN depths d ON d.vec_id = c.vec_id""",
+    HAPLOID,
+)
 def call_variants_haploid(spark, sf_dir):
     sites = observed(spark, sf_dir).withColumn("contig", F.lit("chrX"))
     c = C.call_variants(sites, haploid=["chrX", "chrY"], keys=["vec_id"])
