@@ -70,7 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current is None:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if not current:
-            if not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             current = str(Path(tempfile.gettempdir()) / f"fragx-checkpoints-{sc.applicationId}")
         sc.setCheckpointDir(current)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -78,10 +79,11 @@ def load_site_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     }
     if name not in schemas:
         raise ValueError(f"unknown resource {name}")
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
         return spark.read.parquet(f"{folder}/{name}.parquet")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     header = name == "methylation_sites"
     return spark.read.schema(schemas[name]).option("sep", "\t").option("header", header).option("comment", "#").csv(
         f"{folder}/{name}.tsv"
