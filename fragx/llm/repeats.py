@@ -62,6 +62,20 @@ def suffixes(docs: DataFrame, words: int, lead: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lead long")
 
 
+def _spans(window: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal windows of a document that overlap or touch as one: its hash, first and last position.
+
+    They share their fate, and a text that repeats a few words would else give
+    one row of the same key per word.
+    """
+    order = np.lexsort((at, window))
+    window, at = window[order], at[order]
+    opens = np.ones(len(at), bool)
+    opens[1:] = (window[1:] != window[:-1]) | (at[1:] > at[:-1] + words)
+    first = np.flatnonzero(opens)
+    return window[first], at[first], at[np.append(first[1:], len(at)) - 1] if len(at) else at
+
+
 def windows(docs: DataFrame, words: int, lead: int) -> DataFrame:
     """(window, doc_id, start, length, hot): the windows around the suffixes listed in ``leads``, in code points."""
 
@@ -76,12 +90,13 @@ def windows(docs: DataFrame, words: int, lead: int) -> DataFrame:
                 own = retained(hashed, words, lead)
                 shared = shared.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 kept = np.flatnonzero(np.isin(own, shared))
+                window, kept, last = _spans(gram_hashes(hashed, words)[kept], kept, words)
                 is_hot = np.isin(own[kept], hot.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 start = places[kept, 0]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(gram_hashes(hashed, words)[kept])), pa.array(np.full(len(kept), doc_id, np.int64)),
-                        pa.array(start.astype(np.int32)), pa.array((places[kept + words - 1, 1] - start).astype(np.int32)), pa.array(is_hot),
+                        pa.array(signed(window)), pa.array(np.full(len(kept), doc_id, np.int64)),
+                        pa.array(start.astype(np.int32)), pa.array((places[last + words - 1, 1] - start).astype(np.int32)), pa.array(is_hot),
                     ],
                     names=["window", "doc_id", "start", "length", "hot"],
                 )
