@@ -208,7 +208,8 @@ RANGES = {
 @register(
     "liftover_ranges",
     """SELECT k.cpg_id, COALESCE(COUNT(m.p) = 12, FALSE) AS lifted, CAST(CASE WHEN COUNT(m.p) = 12 THEN MIN(CASE WHEN strand = '+'
-      THEN tgt_start + (p - src_start) ELSE tgt_start + (src_end - 1 - p) END) END AS BIGINT) AS tgt_min FROM cpg k
+      THEN tgt_start + (p - src_start) ELSE tgt_start + (src_end - 1 - p) END) END AS BIGINT) AS tgt_min, CAST(CASE WHEN COUNT(m.p) = 12 THEN MAX(CASE WHEN strand = '+'
+      THEN tgt_start + (p - src_start) ELSE tgt_start + (src_end - 1 - p) END) END AS BIGINT) AS tgt_max FROM cpg k
       LEFT JOIN mapped m ON k.cpg_id = m.cpg_id LEFT JOIN chain c ON c.site_id = m.block GROUP BY k.cpg_id""",
     RANGES,
 )
@@ -216,7 +217,7 @@ def liftover_ranges(spark, sf_dir):
     from fragx.operators.liftover import lift_ranges
 
     c = table(spark, sf_dir, "cpg").select("cpg_id", "contig", "st", "en")
-    return lift_ranges(c, _chain(spark, sf_dir), "cpg_id").select("cpg_id", "lifted", "tgt_min")
+    return lift_ranges(c, _chain(spark, sf_dir), "cpg_id").select("cpg_id", "lifted", "tgt_min", "tgt_max")
 
 
 @register(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from fragx.operators.intervals import point_in_interval_join
+from fragx.operators.intervals import interval_overlap_join, point_in_interval_join
 
 BLOCK_COLUMNS = ["src_contig", "src_start", "src_end", "tgt_contig", "tgt_start", "strand", "block"]
 
@@ -31,11 +31,32 @@ def lift_points(
 def lift_ranges(
     ranges: DataFrame, chain: DataFrame, key: str, contig: str = "contig", start: str = "st", end: str = "en"
 ) -> DataFrame:
-    """A range maps only when every base maps; adds ``lifted``, ``tgt_min`` and ``tgt_max``."""
-    bases = ranges.select(key, contig, F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("_p"))
-    per_base = _hits(bases, chain, contig, "_p").groupBy(key, "_p").agg(F.min_by("tgt_pos", "block").alias("_t"))
-    found = per_base.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi")
+    """A range maps only when every base maps; adds ``lifted``, ``tgt_min`` and ``tgt_max``.
+
+    Ranges meet blocks in an overlap join and are compared by clipped lengths,
+    so a row stands for a block, not for a base. Only where blocks of a range
+    overlap is the range cut at their ends, and the first block takes each piece.
+    """
+    spans = ranges.select(key, F.col(contig).alias("_contig"), F.col(start).cast("long").alias("_rs"), F.col(end).cast("long").alias("_re"))
+    blocks = chain.select(*BLOCK_COLUMNS).withColumnRenamed("src_contig", "_contig")
+    clips = interval_overlap_join(spans, blocks, ["_contig"], ("_rs", "_re"), ("src_start", "src_end"), clip=True)
+    before = Window.partitionBy(key).orderBy("clip_start", "block").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("clip_end").over(before), F.col("clip_start"))
+    clips = clips.withColumn("_over", reach > F.col("clip_start"))
+    clips = clips.withColumn("_shared", F.max("_over").over(Window.partitionBy(key)))
+    shared = clips.filter("_shared")
+    cuts = shared.select(key, F.explode(F.array("clip_start", "clip_end")).alias("_a")).distinct()
+    cuts = cuts.withColumn("_b", F.lead("_a").over(Window.partitionBy(key).orderBy("_a"))).filter(F.col("_b").isNotNull())
+    held = cuts.join(shared, key).filter((F.col("clip_start") <= F.col("_a")) & (F.col("clip_end") >= F.col("_b")))
+    first = F.min_by(F.struct("tgt_start", "src_start", "src_end", "strand"), "block").alias("_f")
+    pieces = held.groupBy(key, "_a", "_b").agg(first).select(key, F.col("_a").alias("clip_start"), F.col("_b").alias("clip_end"), "_f.*")
+    columns = [key, "clip_start", "clip_end", "tgt_start", "src_start", "src_end", "strand"]
+    rows = clips.filter("NOT _shared").select(*columns).unionByName(pieces.select(*columns))
+    forward = F.col("strand") == "+"
+    low = F.col("tgt_start") + F.when(forward, F.col("clip_start") - F.col("src_start")).otherwise(F.col("src_end") - F.col("clip_end"))
+    found = rows.groupBy(key).agg(
+        F.sum(F.col("clip_end") - F.col("clip_start")).alias("_n"), F.min(low).alias("_lo"),
+        F.max(low + F.col("clip_end") - F.col("clip_start") - 1).alias("_hi"),
     )
     whole = F.coalesce(F.col("_n") == F.col(end) - F.col(start), F.lit(False))
     return ranges.join(found, key, "left").select(
