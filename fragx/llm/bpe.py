@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from fragx.llm.common import texts_of
 
 #: Distinct words a task remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Characters of text whose new words are merged together.
 BLOCK = 12_000_000
 
@@ -40,6 +40,7 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
+        self.numbers = np.array(range(max(ranks.values()) + 1), object)  # one int object per id, whoever remembers it
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # every split of a token into two tokens is a pair that merges into it
         pairs = {}
@@ -144,7 +145,7 @@ class MergeReplay:
             enter(np.unique(np.concatenate([left[has_after], previous[previous >= 0]])))
         live = np.flatnonzero(alive)
         counts = np.bincount(owner[live], minlength=len(rest))
-        ids = symbol[live].tolist()
+        ids = self.numbers[symbol[live]].tolist()
         at = 0
         for i, c in zip(rest, counts.tolist()):
             out[i] = ids[at : at + c]
