@@ -96,6 +96,31 @@ def test_nearest_recall_and_empty(spark):
     assert few.count() == 2
 
 
+@pytest.mark.parametrize("kind", ["low rank", "clustered", "decaying"])
+def test_nearest_reaches_its_recall_with_many_lists(spark, monkeypatch, kind):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    n, size = 6000, 48
+    if kind == "low rank":
+        v = rng.normal(size=(n, 10)) @ rng.normal(size=(10, size)) + 0.05 * rng.normal(size=(n, size))
+    elif kind == "clustered":
+        v = rng.normal(size=(60, size))[rng.integers(0, 60, n)] + 0.3 * rng.normal(size=(n, size))
+    else:
+        v = rng.normal(size=(n, size)) / np.arange(1, size + 1)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "LIST_ROWS", 48)  # 125 lists
+    got = collections.defaultdict(set)
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.arange(0, n, 20)
+    score = v[asked] @ v.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(got[i] & set(b)) / 20 for i, b in zip(asked.tolist(), best.tolist())]) >= 0.95
+
+
 def test_graph_search_finds_what_a_scan_finds():
     rng = np.random.default_rng(1)
     c, q = rng.normal(size=(600, 6)), rng.normal(size=(50, 6))
