@@ -2,16 +2,19 @@
 
 A page is read into blocks of three kinds: text inside an article or main
 element, text of parts whose element says what they are (navigation, footers,
-forms, adverts, comments ...), and text of neither kind. The token stream of a
-page is that of its blocks outside an article. The streams of a host are put
-together, and runs of ``RUN`` tokens or more that several distinct streams of
-the host share are boilerplate. An article is kept as it is, whatever it
-shares with other pages; a page without one keeps the unique runs of its
-blocks of neither kind.
+forms, adverts, comments ...), and text of neither kind. A page has two token
+streams: that of its blocks inside an article and that of all others. Streams
+of each sort are put together for a host, and runs of ``RUN`` tokens or more
+that several distinct streams of the host share are boilerplate. A page keeps
+the other tokens of its articles and of its blocks of neither kind. The two
+sorts are not mixed, so a teaser beside other articles takes nothing from its
+own. An article of which more than half would go is a version of other
+articles, not boilerplate, and is kept as it is.
 
 The host's streams are compared as a suffix array is: every suffix by its
-first ``RUN`` tokens, as a 64-bit hash, so that equal suffixes meet. Counts
-combine on the map side, so a host with a third of all pages is no hot group.
+first ``RUN`` tokens, as a 64-bit hash with the host and the sort, so that
+equal suffixes meet. Counts combine on the map side, so a host with a third of
+all pages is no hot group.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fragx.llm.common import WordHashes, gram_hashes, signed, stored
+from fragx.llm.common import GOLDEN, WordHashes, gram_hashes, mix64, signed, stored
 
 RUN = 8
 #: Distinct streams of a host that share a run which counts as boilerplate.
@@ -143,53 +147,62 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _stream(blocks: list[tuple[int, str]]) -> list[bytes]:
-    return [w.encode("utf-8", "replace") for k, text in blocks if k != ARTICLE for w in text.split(" ")]
+def _streams(blocks: list[tuple[int, str]]) -> list[list[bytes]]:
+    """The words outside and inside articles."""
+    return [[w.encode("utf-8", "replace") for k, text in blocks if (k == ARTICLE) == inside for w in text.split(" ")] for inside in (False, True)]
+
+
+class Runs:
+    """Hashes of the runs of a stream, with its host and sort."""
+
+    def __init__(self, run: int):
+        self.run, self.hashes = run, WordHashes()
+
+    def __call__(self, host: str, inside: int, words: list[bytes]) -> np.ndarray:
+        place = np.array([xxhash.xxh3_64_intdigest(f"{inside} {host}".encode("utf-8", "replace"))], np.uint64)
+        return mix64(gram_hashes(self.hashes(words), self.run) * GOLDEN + place) if len(words) >= self.run else np.empty(0, np.uint64)
+
+    def whole(self, words: list[bytes]) -> np.ndarray:
+        return gram_hashes(self.hashes(words), len(words))
 
 
 def runs(pages: DataFrame, run: int) -> DataFrame:
-    """(host, run, stream): hashes of the runs of each page's stream, once per page, and of the whole stream."""
+    """(run, stream): hashes of the runs of each page's streams, once per stream, and of the whole stream."""
 
     def read(batches):
-        hashes = WordHashes()
+        runs_of = Runs(run)
         for batch in batches:
-            hosts, found, streams = [], [], []
+            found, streams = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                words = _stream(blocks_of(page or ""))
-                if len(words) >= run:
-                    hashed = hashes(words)
-                    grams = np.unique(gram_hashes(hashed, run))
-                    whole = gram_hashes(hashed, len(hashed))
-                    hosts += [host_of(url)] * len(grams)
-                    found.append(grams)
-                    streams.append(np.repeat(whole, len(grams)))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), pa.array(signed(np.concatenate(found))), pa.array(signed(np.concatenate(streams)))], names=["host", "run", "stream"]
-                )
-
-    return pages.mapInArrow(read, "host string, run long, stream long")
-
-
-def covered(words: list[bytes], shared: np.ndarray, hashes: WordHashes, run: int) -> np.ndarray:
-    """Which tokens of a stream lie in a shared run."""
-    out = np.zeros(len(words), bool)
-    if len(words) >= run and len(shared):
-        for at in np.flatnonzero(np.isin(gram_hashes(hashes(words), run), shared)):
-            out[at : at + run] = True
+                host = host_of(url)
+                for inside, words in enumerate(_streams(blocks_of(page or ""))):
+                    grams = np.unique(runs_of(host, inside, words))
+                    if len(grams):
+                        found.append(grams)
+                        streams.append(np.repeat(runs_of.whole(words), len(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(signed(np.concatenate(streams)))], names=["run", "stream"])
+
+    return pages.mapInArrow(read, "run long, stream long")
+
+
+def covered(grams: np.ndarray, size: int, shared: np.ndarray, run: int) -> np.ndarray:
+    """Which of ``size`` tokens of a stream lie in a shared run."""
+    out = np.zeros(size, bool)
+    for at in np.flatnonzero(np.isin(grams, shared)) if len(shared) else ():
+        out[at : at + run] = True
     return out
 
 
-def unique_text(blocks: list[tuple[int, str]], cover: np.ndarray) -> str:
-    """The blocks of neither kind without their covered tokens."""
-    out, at = [], 0
+def unique_text(blocks: list[tuple[int, str]], outside: np.ndarray, inside: np.ndarray) -> str:
+    """The blocks of articles and of neither kind without their covered tokens."""
+    if 2 * inside.sum() > len(inside):
+        inside = np.zeros(len(inside), bool)
+    out, cover, at = [], (outside, inside), [0, 0]
     for kind, text in blocks:
-        if kind == ARTICLE:
-            continue
-        words = text.split(" ")
-        kept = [w for w, c in zip(words, cover[at : at + len(words)]) if not c]
-        at += len(words)
-        if kind == OTHER and kept:
+        sort, words = int(kind == ARTICLE), text.split(" ")
+        kept = [w for w, c in zip(words, cover[sort][at[sort] : at[sort] + len(words)]) if not c]
+        at[sort] += len(words)
+        if kind != PART and kept:
             out.append(" ".join(kept))
     return "\n".join(out)
 
@@ -197,62 +210,42 @@ def unique_text(blocks: list[tuple[int, str]], cover: np.ndarray) -> str:
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def _texts(batch, texts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-        names=["page_id", "url", "text", "n_chars"],
-    )
-
-
 def extract(pages: DataFrame, run: int = RUN, streams: int = STREAMS) -> DataFrame:
     """page_id, url, text and n_chars of every page, blocks joined by a line break.
 
     A null or empty page has an empty text. Pages with a null or odd url share
-    the empty host. Pages with equal streams are one stream, so copies of a
-    page do not make it boilerplate. Repeated rows stay repeated; further
+    the empty host. Equal streams are one stream, so copies of a page or of
+    an article do not make it boilerplate. Repeated rows stay repeated; further
     columns are ignored; an empty table gives no rows.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    shared = runs(base, run).distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams)
-    shared = stored(shared.select("host", "run"))
-
-    def articles(batches):
-        for batch in batches:
-            texts = []
-            for page in batch.column("html").to_pylist():
-                blocks = blocks_of(page or "")
-                texts.append("\n".join(t for k, t in blocks if k == ARTICLE) if any(k == ARTICLE for k, _ in blocks) else None)
-            out = _texts(batch, [t or "" for t in texts])
-            yield out.filter(pa.array([t is not None for t in texts], pa.bool_()))
-
-    def rest(batches):
-        for batch in batches:
-            bare, hosts = [], []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                bare.append(not any(k == ARTICLE for k, _ in blocks_of(page or "")))
-                hosts.append(host_of(url))
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "html")), pa.array(hosts, pa.string())], names=["page_id", "url", "html", "host"])
-            yield out.filter(pa.array(bare, pa.bool_()))
+    shared = runs(base, run).distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams)
+    shared = stored(shared.select("run"))
 
     def own_runs(batches):
-        hashes = WordHashes()
+        runs_of = Runs(run)
         for batch in batches:
-            grams = [signed(np.unique(gram_hashes(hashes(w), run))) for w in (_stream(blocks_of(p or "")) for p in batch.column("html").to_pylist())]
-            counts = [len(g) for g in grams]
-            rows = pa.array(np.repeat(np.arange(len(grams)), counts))
-            yield pa.RecordBatch.from_arrays([batch.column("page").take(rows), batch.column("host").take(rows), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))], names=["page", "host", "run"])
+            grams = []
+            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
+                host = host_of(url)
+                grams.append(signed(np.unique(np.concatenate([runs_of(host, i, w) for i, w in enumerate(_streams(blocks_of(page or "")))]))))
+            rows = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("page").take(rows), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))], names=["page", "run"])
 
     def assemble(batches):
-        hashes = WordHashes()
+        runs_of = Runs(run)
         for batch in batches:
             texts = []
-            for page, found in zip(batch.column("html").to_pylist(), batch.column("found").to_pylist()):
-                blocks = blocks_of(page or "")
-                texts.append(unique_text(blocks, covered(_stream(blocks), np.array(found or [], np.int64).view(np.uint64), hashes, run)))
-            yield _texts(batch, texts)
-
-    bare = base.mapInArrow(rest, "page_id long, url string, html string, host string").withColumn("page", F.xxhash64("page_id", "url", "html"))
+            for url, page, found in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "found"))):
+                blocks, host, known = blocks_of(page or ""), host_of(url), np.array(found or [], np.int64).view(np.uint64)
+                texts.append(unique_text(blocks, *(covered(runs_of(host, i, w), len(w), known, run) for i, w in enumerate(_streams(blocks)))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
+
+    keyed = base.withColumn("page", F.xxhash64("page_id", "url", "html"))
     # a page's own shared runs, as many as it has tokens
-    found = bare.select("page", "host", "html").mapInArrow(own_runs, "page long, host string, run long").join(shared, ["host", "run"])
+    found = keyed.select("page", "url", "html").mapInArrow(own_runs, "page long, run long").join(shared, "run")
     found = found.groupBy("page").agg(F.collect_set("run").alias("found"))
-    return base.mapInArrow(articles, SCHEMA).unionByName(bare.join(found, "page", "left").mapInArrow(assemble, SCHEMA))
+    return keyed.join(found, "page", "left").select("page_id", "url", "html", "found").mapInArrow(assemble, SCHEMA)

@@ -497,6 +497,20 @@ def test_repeated_runs_of_a_host_are_removed(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_runs_go_from_articles_too(spark):
+    share, seen = "<p>Tell all of your friends about this story today</p>", "one two three four five six seven eight nine ten eleven twelve"
+    own = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(4)]
+    pages = [(i, f"http://h/{i}", f"<article><p>{own[i]}</p>{share}</article><div>beside {i}</div>") for i in range(4)]
+    pages += [(10 + i, f"http://h/c{i}", f"<nav>page {i}</nav><article><p>{seen}</p></article>") for i in range(3)]  # copies
+    pages += [(20 + i, f"http://h/v{i}", f"<article><p>{' '.join(f'v{j}' for j in range(30))} edit {i}</p></article>") for i in range(3)]  # versions
+    pages += [(30, "http://g/", f"<article><p>{own[0]}</p>{share}</article>")]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own[i]}\nbeside {i}" for i in range(4))
+    assert all(got[10 + i] == seen for i in range(3))
+    assert all(got[20 + i].startswith("v0 v1 ") and got[20 + i].endswith(f"edit {i}") for i in range(3))
+    assert got[30] == f"{own[0]}\nTell all of your friends about this story today"
+
+
 def test_articles_of_the_table(spark):
     frame = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in extract.extract(frame).collect()}
