@@ -24,13 +24,38 @@ SENSITIVE_WORDS = ("passw", "passphrase", "pwd", "secret", "token", "key", "cred
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 REACH = 64
 CONTEXT = 512
+#: Pieces that words are made of, vowels, consonants in a row that no word has, and characters outside such pieces that make a string no name.
+PIECE = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
+VOWELS = re.compile(r"[aeiouy]", re.I)
+CLUSTER = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.I)
+LOOSE = 8
 #: Marginal compressed bytes per character from which a string counts as incompressible.
 NOVELTY = 0.62
 DICTIONARY_BYTES = 65_536
 DICTIONARY_WORDS = 8_192
+DEFAULT_DICTIONARY = b"password secret token key value string import return"
 FLUSH = 200_000
 
 
+def has_word_structure(candidate: str) -> bool:
+    """Whether a string is made of pronounceable letter pieces, as names are, but for fewer than ``LOOSE`` characters.
+
+    Separators do not count. A piece has three letters or more, a fifth of
+    them vowels at least, and no long run of consonants.
+    """
+    loose = sum(c not in "+/_.=-" for c in candidate)
+    for m in PIECE.finditer(candidate):
+        piece = m[0]
+        if len(piece) >= 3 and 5 * len(VOWELS.findall(piece)) >= len(piece) and not CLUSTER.search(piece):
+            loose -= len(piece)
+    return loose < LOOSE
+
+
+def may_be_secret(word: str) -> bool:
+    """Whether a word holds a candidate without word structure."""
+    return len(word) >= 16 and any(not has_word_structure(m[0]) for m in CANDIDATE.finditer(word))
+
+
 def identifier_dictionary(docs: DataFrame, max_words: int = DICTIONARY_WORDS, max_bytes: int = DICTIONARY_BYTES) -> bytes:
     """The commonest identifiers and words of all documents, commonest last, as raw dictionary content.
 
@@ -63,13 +88,19 @@ def identifier_dictionary(docs: DataFrame, max_words: int = DICTIONARY_WORDS, ma
     kept = [] if least is None else counted.filter(F.col("n") >= least).collect()
     top = sorted(kept, key=lambda r: (-r["n"], r["word"]))
     content = b"\n".join(r["word"].encode() for r in reversed(top))[-max_bytes:]
-    return content or b"password secret token key value string import return"
+    return content or DEFAULT_DICTIONARY
 
 
 class Novelty:
-    """Marginal compressed size of a string after its context, with a primed dictionary."""
+    """Marginal compressed size of a string after its context, with a primed dictionary.
+
+    Words of the dictionary that may be secrets themselves are left out however
+    common they are, so a leaked string does not make its own copies look known.
+    """
 
     def __init__(self, dictionary: bytes):
+        words = [w for w in dictionary.split(b"\n") if not may_be_secret(w.decode("utf-8", "replace"))]
+        dictionary = b"\n".join(words) or DEFAULT_DICTIONARY
         data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=data, write_content_size=False, write_checksum=False)
 
@@ -79,6 +110,18 @@ class Novelty:
         return size / len(candidate)
 
 
+def context_of(text: str, start: int, end: int) -> str:
+    """Up to ``CONTEXT`` characters on either side, without further copies of a candidate that has no word structure.
+
+    Copies become spaces of their length, also those that the edge would cut.
+    """
+    candidate, size = text[start:end], end - start
+    before, after = text[max(0, start - CONTEXT - size) : start], text[end : end + CONTEXT + size]
+    if not has_word_structure(candidate):
+        before, after = before.replace(candidate, " " * size), after.replace(candidate, " " * size)
+    return before[-CONTEXT:] + after[:CONTEXT]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three fixed patterns, in code points."""
     found = []
@@ -105,8 +148,7 @@ def novel_spans(text: str, taken: list, novelty: Novelty, threshold: float) -> l
                 break
             if m.start() in found or any(s < m.end() and m.start() < e for s, _, e in taken):
                 continue
-            around = text[max(0, m.start() - CONTEXT) : m.start()] + text[m.end() : m.end() + CONTEXT]
-            if novelty(around, m[0]) >= threshold:
+            if novelty(context_of(text, m.start(), m.end()), m[0]) >= threshold:
                 found[m.start()] = (m.start(), 3, m.end())
     return list(found.values())
 

@@ -440,6 +440,30 @@ def test_novel_strings_after_sensitive_words():
     assert masked == 'a token = "<assign>" b'
 
 
+def test_a_secret_in_many_copies_is_still_found(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    leaked, twice, edge = ("".join(rng.choice(letters) for _ in range(36)) for _ in range(3))
+    name = "configure_connection_pool"
+    rows = [(i, f"some notes {i} Authorization: Bearer {leaked} and credential {name} end") for i in range(60)]
+    rows += [(100, f"bearer {twice} and then again\nbearer {twice} end"), (101, f"bearer {edge} {'word ' * 97} bearer {edge} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dictionary = secrets.identifier_dictionary(docs)
+    novelty = secrets.Novelty(dictionary)
+    assert novelty("", leaked) >= secrets.NOVELTY > novelty("", name)
+    got = {r.doc_id: r.n_novel for r in secrets.find_secrets(docs).collect()}
+    assert all(got[i] == 1 for i in range(60)) and got[100] == got[101] == 2
+
+
+def test_word_structure_tells_names_from_random_strings():
+    names = ["authorization_header_value", "configureConnectionPool", "MAX_RETRY_INTERVAL", "org.apache.spark.sql", "thanonontioniner.", "instanonouortion"]
+    assert all(secrets.has_word_structure(x) for x in names)
+    rng = random.Random(2)
+    for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        made = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(300)]
+        assert np.mean([secrets.has_word_structure(x) for x in made]) < 0.01
+
+
 # byte-level BPE
 
 
