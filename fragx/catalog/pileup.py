@@ -88,6 +88,11 @@ def pileup_counts(spark, sf_dir):
     return rows.select(*COLUMNS[:-1], _alts())
 
 
+@register("pileup_counts_whole", f"SELECT {', '.join(COLUMNS)} FROM piled", PILEUP)
+def pileup_counts_whole(spark, sf_dir):
+    return P.pileup_counts(aligned(spark, sf_dir), chunks(spark, sf_dir)).select(*COLUMNS[:-1], _alts())
+
+
 @register("candidate_sites", "SELECT contig, pos, ref_base, depth, alts FROM candidates", PILEUP)
 def candidate_sites(spark, sf_dir):
     rows = P.candidate_sites(P.pileup_counts(aligned(spark, sf_dir), chunks(spark, sf_dir)))

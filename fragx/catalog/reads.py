@@ -8,6 +8,7 @@ from fragx.catalog.registry import register
 from fragx.fixtures import table
 from fragx.functions import reads as R, sequence as S
 from fragx.operators import reads as ops
+from fragx.operators.ordering import row_numbers
 
 QC = "(CAST(flag AS INT) & 3844) = 0 AND mapq >= 30"
 
@@ -118,6 +119,42 @@ def strand_of_pair(spark, sf_dir):
     return mates.filter("n = 2").select("qname", R.strand_of_pair("a", "b").alias("strand"))
 
 
+@register(
+    "strand_of_pair_whole",
+    """SELECT qname, pair_id, CASE WHEN n = 2 AND lo = 99 AND hi = 147 THEN 'W' WHEN n = 2 AND lo = 83 AND hi = 163 THEN 'C' END AS strand FROM
+     (SELECT qname, CAST(FLOOR((rk - 1) / 2) AS BIGINT) AS pair_id, COUNT(*) AS n, MIN(flag) AS lo, MAX(flag) AS hi
+      FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY qname ORDER BY pos, rid) AS rk FROM reads) r GROUP BY qname, CAST(FLOOR((rk - 1) / 2) AS BIGINT)) p""",
+)
+def strand_of_pair_whole(spark, sf_dir):
+    """Every read: names of any number of reads, two by two; a read without a mate has no strand."""
+    ranked = row_numbers(reads(spark, sf_dir).select("qname", "pos", "rid", "flag"), [F.col("pos"), F.col("rid")], ["qname"], "rk")
+    pairs = ranked.groupBy("qname", F.floor((F.col("rk") - 1) / 2).alias("pair_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("flag").alias("a"), F.max("flag").alias("b")
+    )
+    return pairs.select("qname", "pair_id", F.when(F.col("n") == 2, R.strand_of_pair("a", "b")).alias("strand"))
+
+
+@register(
+    "mark_duplicate_templates",
+    """SELECT rid, sample_id, CASE WHEN (flag & 2308) <> 0 THEN FALSE WHEN pair_name IS NOT NULL THEN pair_rank > 1 ELSE has_pair OR lone_rank > 1 END AS is_duplicate FROM marked""",
+    {
+        "ended": """SELECT rid, sample_id, qname, contig, flag, (flag & 16) <> 0 AS reverse, CAST(COALESCE(list_sum(list_filter(qual, lambda q: q >= 15)), 0) AS BIGINT) AS score,
+          CASE WHEN (flag & 16) <> 0 THEN pos + CASE cigar WHEN '5S95M' THEN 95 WHEN '60M2D40M' THEN 102 WHEN '50M3I47M' THEN 97 WHEN '95M5S' THEN 100
+          WHEN '30M10N70M' THEN 110 ELSE 100 END - 1 ELSE pos - CASE cigar WHEN '5S95M' THEN 5 ELSE 0 END END AS five FROM aligned""",
+        "named": """SELECT sample_id, qname, COUNT(*) AS n, MIN((contig, five, reverse)) AS low, MAX((contig, five, reverse)) AS high, MIN(rid) AS rid, SUM(score) AS score
+          FROM ended WHERE (flag & 2308) = 0 GROUP BY sample_id, qname""",
+        "paired": """SELECT sample_id, qname AS pair_name, low, high, ROW_NUMBER() OVER (PARTITION BY sample_id, low, high ORDER BY score DESC, rid) AS pair_rank FROM named WHERE n = 2""",
+        "pair_ends": "SELECT DISTINCT sample_id, e FROM (SELECT sample_id, low AS e FROM paired UNION ALL SELECT sample_id, high FROM paired) x",
+        "marked": """SELECT d.rid, d.sample_id, d.flag, p.pair_name, p.pair_rank, e.e IS NOT NULL AS has_pair,
+          ROW_NUMBER() OVER (PARTITION BY d.sample_id, d.contig, d.five, d.reverse, p.pair_name IS NULL AND (d.flag & 2308) = 0 ORDER BY d.score DESC, d.rid) AS lone_rank
+          FROM ended d LEFT JOIN paired p ON p.sample_id = d.sample_id AND p.pair_name = d.qname AND (d.flag & 2308) = 0
+          LEFT JOIN pair_ends e ON e.sample_id = d.sample_id AND e.e = (d.contig, d.five, d.reverse)""",
+    },
+)
+def mark_duplicate_templates(spark, sf_dir):
+    return ops.mark_duplicate_templates(table(spark, sf_dir, "aligned"), ["sample_id"]).select("rid", "sample_id", "is_duplicate")
+
+
 @register(
     "mark_duplicates",
     """SELECT rid, ROW_NUMBER() OVER (PARTITION BY sample_id, contig, CAST(FLOOR(five_prime / 2000.0) AS BIGINT), reverse ORDER BY quality_sum DESC, rid) > 1 AS is_duplicate,

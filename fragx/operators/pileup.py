@@ -2,19 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fragx import constants as K
 from fragx.functions import reads as R
 from fragx.functions.common import floor_div
 from fragx.operators.genome import CHUNK, OVERLAP, spell
-from fragx.operators.intervals import READ_WIDTH, point_in_interval_join
-from fragx.operators.reads import base_at, expand_alignment, ref_span
+from fragx.operators.intervals import READ_WIDTH
+from fragx.operators.reads import with_steps
 from fragx.operators.skew import DEFAULT_HOT_ROWS, salted_join
 
 SYMBOLS = ["A", "C", "G", "T", "I", "D", "O"]
 
 
+def delta_rows(
+    reads: DataFrame, chunks: DataFrame, by: list[str], min_bq: int = 0, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """What reads say about positions beyond "as the reference": ``by``, chunk_id, pos and
+
+    * ``base``, ``gone``, ``skip``: +1 where a stretch of bases, deleted or skipped positions starts, -1 behind its end;
+    * ``less``: bases that are not counted as the reference (other ones, and those below ``min_bq``);
+    * ``s``, ``t``, ``c``, ``n``: symbol and text of another base or of an indel, what it adds to the
+      counts and to the texts; null for the rows above.
+
+    Stretches are cut at chunks, so each chunk starts at depth 0. One row per
+    CIGAR operation meets its chunk, and a stretch leaves two rows and one per
+    base that differs, however long it is. A deletion longer than ``overlap``
+    has its length as text.
+    """
+    carried = list(dict.fromkeys([*by, "pos", "seq", *(["qual"] if min_bq else [])]))
+    read = reads.filter(F.col("cigar").isNotNull() & F.col("seq").isNotNull())
+    located = with_steps(read, carried)
+    begins = F.filter("_ops", lambda o: o["op"].isin("M", "=", "X", "D"))
+    one = located.select(*carried, F.array_min(F.transform(begins, lambda o: o["r"])).alias("_first"), F.explode("_ops").alias("_o"))
+    op, size, start = F.col("_o.op"), F.col("_o.len"), (F.col("pos") + F.col("_o.r")).cast("long")
+    block, indel = op.isin("M", "=", "X", "D", "N"), op.isin("I", "D") & (F.col("_first") < F.col("_o.r"))
+    none = F.array().cast("array<struct<id:bigint,event:boolean>>")
+    ids = F.sequence(floor_div(start, chunk), floor_div(start + size - 1, chunk))
+    # an indel belongs to the base before it
+    own = F.array(F.struct(floor_div(start - 1, chunk).alias("id"), F.lit(True).alias("event")))
+    pieces = F.concat(
+        F.when(block & (size > 0), F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(False).alias("event")))).otherwise(none),
+        F.when(indel & (size > 0), own).otherwise(none),
+    )
+    one = one.filter(op.isin("M", "=", "X", "D", "N", "I")).select(*carried, op.alias("_op"), size.alias("_n"), start.alias("_s"), F.col("_o.q").alias("_q"), F.explode(pieces).alias("_p"))
+    event, moved = F.col("_p.event"), F.col("_op").isin("M", "=", "X")
+    lo = F.when(event, F.col("_s") - 1).otherwise(F.greatest(F.col("_s"), F.col("_p.id") * chunk))
+    hi = F.when(event, F.col("_s")).otherwise(F.least(F.col("_s") + F.col("_n"), (F.col("_p.id") + 1) * chunk))
+    skipped = (F.col("_q") + lo - F.col("_s")).cast("int")
+    before = F.when(F.col("_q") > 0, F.substring(F.col("seq"), F.col("_q"), F.lit(1))).otherwise("")
+    bases = (
+        F.when(event & (F.col("_op") == "I"), F.concat(before, F.substring(F.col("seq"), F.col("_q") + 1, F.col("_n"))))
+        .when(moved & ~event, F.substring(F.col("seq"), skipped + 1, (hi - lo).cast("int")))
+    )
+    kind = F.when(event, F.when(F.col("_op") == "I", "I").otherwise("D")).when(moved, "M").otherwise(F.when(F.col("_op") == "D", "gone").otherwise("skip"))
+    quals = [F.when(moved & ~event, F.slice(F.col("qual"), skipped + 1, (hi - lo).cast("int"))).alias("_quals")] if min_bq else []
+    cut = one.select(*by, F.col("_p.id").alias("chunk_id"), kind.alias("_kind"), F.col("_n"), lo.alias("_lo"), (hi - lo).cast("int").alias("_len"), F.upper(bases).alias("_bases"), F.when(event, F.upper(before)).alias("_before"), *quals)
+    met = salted_join(cut, chunks, ["contig", "chunk_id"], hot_rows=None)
+    at = (F.col("_lo") - F.col("chunk_start") + 1).cast("int")
+    wanted = F.when(F.col("_kind") == "D", F.when(F.col("_n") < overlap, F.col("_n") + 1).otherwise(1)).otherwise(F.col("_len"))
+    placed = met.select(*by, "chunk_id", "_kind", "_n", "_lo", "_bases", "_before", *(["_quals"] if min_bq else []), F.upper(F.substring(F.col("chunk_seq"), at, wanted)).alias("_ref"))
+    placed = placed.filter(F.col("_ref") != "").withColumn("_len", F.length("_ref"))  # nothing beyond the contig
+    is_m = F.col("_kind") == "M"
+    low = F.exists("_quals", lambda q: q < min_bq) if min_bq else F.lit(False)
+    differs = is_m & (low | (F.col("_bases") != F.col("_ref")))
+    spots = F.sequence(F.lit(-2), F.when(differs, F.col("_len") - 1).otherwise(-1))
+    rows = placed.select("*", F.explode(spots).alias("_i"))
+    mine, theirs = F.substring(F.col("_bases"), F.col("_i") + 1, F.lit(1)), F.substring(F.col("_ref"), F.col("_i") + 1, F.lit(1))
+    poor = (F.get(F.col("_quals"), F.col("_i")) < min_bq) if min_bq else F.lit(False)
+    rows = rows.filter((F.col("_i") < 0) | poor | (mine != theirs))
+    opens, closes, base = F.col("_i") == -2, F.col("_i") == -1, F.col("_i") >= 0
+    is_event, anchor = F.col("_kind").isin("I", "D"), F.col("_before")
+    move = F.when(opens, 1).when(closes, -1).otherwise(0)
+    place = F.when(base, F.col("_lo") + F.col("_i")).when(is_event | opens, F.col("_lo")).otherwise(F.col("_lo") + F.col("_len"))
+    deleted = F.concat(F.lit("-"), F.when(F.col("_n") < overlap, F.col("_ref")).otherwise(F.col("_n").cast("string")))
+    text = F.when(base & ~poor, mine).when(is_event & opens, F.when(F.col("_kind") == "I", F.concat(F.lit("+"), F.col("_bases"))).otherwise(deleted)).when(is_event, anchor)
+    symbol = F.when(base & ~poor, F.when(mine.isin("A", "C", "G", "T"), mine).otherwise("O")).when(is_event & opens, F.col("_kind")).when(is_event, anchor)
+    return rows.select(
+        *by, "chunk_id", place.cast("long").alias("pos"),
+        *[F.when(F.col("_kind") == k, move).otherwise(0).alias(name) for k, name in (("M", "base"), ("gone", "gone"), ("skip", "skip"))],
+        F.when(base, 1).otherwise(0).alias("less"), symbol.alias("s"), text.alias("t"),
+        F.when((base & ~poor) | (is_event & opens), 1).otherwise(0).alias("c"), F.when((base & ~poor) | (is_event & opens), 1).when(is_event, -1).otherwise(0).alias("n"),
+    )
+
+
 def pileup_counts(
     reads: DataFrame, chunks: DataFrame, keys: list[str] | None = None, min_mapq: int = 5, min_bq: int = 0,
     flag_mask: int = 2316, chunk: int = CHUNK, overlap: int = OVERLAP, proper_pairs: bool = True,
@@ -24,75 +95,81 @@ def pileup_counts(
     A read with an indel after a base counts that base and the indel, so it
     enters the depth twice; in ``alt_bases`` it stands only as ``+`` or ``-``
     followed by its base and sequence. Deleted and skipped positions and
-    unclear bases are "other". Equal symbols of a position collapse on the map
-    side before the shuffle. ``chunks`` come from ``chunk_genome`` with the
+    unclear bases are "other". ``chunks`` come from ``chunk_genome`` with the
     same ``chunk`` and ``overlap``; a deletion longer than ``overlap`` is spelled
     over several of them. ``proper_pairs`` leaves out paired reads that are not properly paired.
-    Counts meet the genome after they collapsed, at most ``chunk`` positions per
-    chunk and group, so that join needs no salts.
+
+    Reads are never expanded to their bases: depth is a running sum of the ends
+    of aligned stretches, rows are only made for bases that differ, and the
+    bases that equal the reference are what is left (``delta_rows``). Equal rows
+    collapse on the map side; a chunk then has at most its positions times
+    their distinct texts.
     """
     by = [*(keys or []), "contig"]
     kept = reads.filter(R.passes_flag_mask("flag", flag_mask) & (F.col("mapq") >= min_mapq))
     if proper_pairs:
         kept = kept.filter(F.col("flag").bitwiseAND(K.FLAG_PAIRED | K.FLAG_PROPER_PAIR) != K.FLAG_PAIRED)
-    rows = expand_alignment(kept, by, skips=True)
-    if min_bq:
-        rows = rows.filter((F.col("kind") != "base") | (F.col("bq") >= min_bq))
-    indel = F.col("kind").isin("ins", "del")
-    known = (F.col("kind") == "base") & F.upper("base").isin("A", "C", "G", "T")
-    symbol = F.when(F.col("kind") == "ins", "I").when(F.col("kind") == "del", "D").when(known, F.upper("base")).otherwise("O")
-    text = (
-        F.when(F.col("kind") == "ins", F.concat(F.lit("+"), F.upper("base"), F.upper("event")))
-        .when(F.col("kind") == "del", F.concat(F.lit("-"), F.length("event").cast("string")))
-        .when(F.col("kind") == "del_base", "*")
-        .otherwise(F.upper("base"))
-    )
-    # An indel belongs to the base before it; that base leaves the plain alternatives.
-    place = F.when(indel, F.col("ref_pos") - 1).otherwise(F.col("ref_pos"))
-    entries = F.when(
-        indel,
-        F.array(
-            F.struct(symbol.alias("s"), text.alias("t"), F.lit(1).alias("c"), F.lit(1).alias("n")),
-            F.struct(F.upper("base").alias("s"), F.upper("base").alias("t"), F.lit(0).alias("c"), F.lit(-1).alias("n")),
-        ),
-    ).otherwise(F.array(F.struct(symbol.alias("s"), text.alias("t"), F.lit(1).alias("c"), F.lit(1).alias("n"))))
-    counted = (
-        rows.select(*by, place.alias("pos"), F.explode(entries).alias("_e"))
-        .groupBy(*by, "pos", F.col("_e.s").alias("s"), F.col("_e.t").alias("t"))
-        .agg(F.sum("_e.c").alias("c"), F.sum("_e.n").alias("n"))
-    )
-    located = salted_join(
-        counted.withColumn("chunk_id", floor_div("pos", chunk)), chunks, ["contig", "chunk_id"], hot_rows=None
-    )
-    at = (F.col("pos") - F.col("chunk_start") + 1).cast("int")
-    deleted = F.col("t").startswith("-")
-    size = F.try_to_number(F.when(deleted, F.expr("substring(t, 2)")), F.lit("999999999")).cast("int") + 1
-    long_ones = located.select("contig", "pos", size.alias("_size")).filter(F.col("_size") > overlap).distinct()
-    spans = spell(long_ones.withColumnRenamed("pos", "_start"), chunks, "contig", "_start", "_size", "_long", chunk)
-    spans = spans.select(F.col("contig").alias("_lc"), F.col("_start").alias("_ls"), F.col("_size").alias("_ln"), "_long")
-    located = located.withColumn("_size", F.when(size > overlap, size))
-    located = located.join(spans, (F.col("contig") == F.col("_lc")) & (F.col("pos") == F.col("_ls")) & (F.col("_size") == F.col("_ln")), "left")
-    spelled = F.when(
-        deleted, F.concat(F.lit("-"), F.upper(F.coalesce(F.col("_long"), F.substring(F.col("chunk_seq"), at, size))))
-    ).otherwise(F.col("t"))
-    typed = located.select(
-        *by, "pos", F.upper(F.substring(F.col("chunk_seq"), at, F.lit(1))).alias("ref_base"), "s", spelled.alias("t"), "c", "n"
-    ).filter(F.col("ref_base") != "")
-
-    def count(symbol_):
-        return F.coalesce(F.sum(F.when(F.col("s") == symbol_, F.col("c"))), F.lit(0)).cast("long")
+    sums = ["base", "gone", "skip", "less", "c", "n"]
+    rows = delta_rows(kept, chunks, by, min_bq, chunk, overlap)
+    counted = rows.groupBy(*by, "chunk_id", "pos", "s", "t").agg(*[F.sum(x).cast("long").alias(x) for x in sums])
+    counted = _spell_long(counted, chunks, chunk)
+    entry = F.when(F.col("s").isNotNull(), F.struct("s", "t", "c", "n"))
+    area = [*by, "chunk_id"]
+    points = counted.repartition(*area).groupBy(*area, "pos").agg(*[F.sum(x).alias(x) for x in sums[:4]], F.collect_list(entry).alias("_e"))
+    along = Window.partitionBy(*area).orderBy("pos")
+    running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    depth = [F.sum(x).over(running).alias(x) for x in sums[:3]]
+    runs = points.select(*area, "pos", "less", "_e", *depth, F.lead("pos").over(along).alias("_next"))
+    covered = (F.col("base") + F.col("gone") + F.col("skip")) > 0
+    runs = runs.withColumn("_end", F.when(covered, F.coalesce("_next", F.col("pos") + 1)).otherwise(F.col("pos") + 1)).filter(covered | (F.size("_e") > 0))
+    met = salted_join(runs, chunks, ["contig", "chunk_id"], hot_rows=None)
+    letters = F.upper(F.substring(F.col("chunk_seq"), (F.col("pos") - F.col("chunk_start") + 1).cast("int"), (F.col("_end") - F.col("pos")).cast("int")))
+    met = met.select(*by, "pos", "less", "_e", "base", "gone", "skip", "_end", letters.alias("_ref"))
+
+    def summed(symbol: str) -> Column:
+        return F.aggregate(F.filter("_e", lambda e: e["s"] == symbol), F.lit(0).cast("long"), lambda acc, e: acc + e["c"])
 
+    # what the first position of a run has besides the reference; the others have nothing
+    seen = [summed(x).alias(f"_x{x}") for x in SYMBOLS]
+    first = met.select("*", *seen, F.substring(F.col("_ref"), F.lit(1), F.lit(1)).alias("_r0"))
+    own = lambda e: (e["s"] == F.col("_r0")) & (e["t"] == F.col("_r0")) & F.col("_r0").isin("A", "C", "G", "T")  # noqa: E731  what indels take from the reference base
+    less_text = F.aggregate(F.filter("_e", own), F.lit(0).cast("long"), lambda acc, e: acc + e["n"])
+    texts = F.transform(F.filter("_e", lambda e: (e["n"] > 0) & ~own(e)), lambda e: F.struct(e["t"].alias("k"), e["n"].alias("v")))
+    first = first.select("*", less_text.alias("_less_text"), texts.alias("_texts"))
+    each = first.select("*", F.posexplode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias("_i", "_p"))
+    here = F.col("_i") == 0
+    ref = F.substring(F.col("_ref"), F.col("_i") + 1, F.lit(1))
+    zero = F.lit(0).cast("long")
+    as_ref = F.col("base") - F.when(here, F.col("less")).otherwise(zero)
+    each = each.select(*by, F.col("_p").alias("pos"), ref.alias("ref_base"), as_ref.alias("_as_ref"), "gone", "skip", "_texts", here.alias("_here"), "_less_text", *[f"_x{x}" for x in SYMBOLS])
+    known = F.col("ref_base").isin("A", "C", "G", "T")
+
+    def count(symbol: str) -> Column:
+        out = F.when(F.col("_here"), F.col(f"_x{symbol}")).otherwise(zero)
+        if symbol == "O":
+            return out + F.col("gone") + F.col("skip") + F.when(known, zero).otherwise(F.col("_as_ref"))
+        return out + F.when(F.col("ref_base") == symbol, F.col("_as_ref")).otherwise(zero) if symbol in "ACGT" else out
+
+    ref_text = F.col("_as_ref") + F.when(F.col("_here"), F.col("_less_text")).otherwise(zero)
+    plain = F.array(*[F.struct(k.alias("k"), v.alias("v")) for k, v in ((F.col("ref_base"), ref_text), (F.lit("*"), F.col("gone")), (F.lit(">"), F.col("skip")))])
+    plain = F.filter(plain, lambda e: e["v"] > 0)
     names = ["a", "c", "g", "t", "ins", "del", "other"]
-    alts = F.map_from_entries(
-        F.filter(
-            F.collect_list(F.struct(F.col("t").alias("k"), F.col("n").cast("long").alias("v"))),
-            lambda e: e["v"] > 0,
-        )
-    )
-    out = typed.groupBy(*by, "pos", "ref_base").agg(
-        *[count(s).alias(n) for s, n in zip(SYMBOLS, names)], F.sum("c").cast("long").alias("depth"), alts.alias("alt_bases")
-    )
-    return out
+    alts = F.map_from_entries(F.when(F.col("_here"), F.concat("_texts", plain)).otherwise(plain))
+    out = each.select(*by, "pos", "ref_base", *[count(x).alias(n) for x, n in zip(SYMBOLS, names)], alts.alias("alt_bases"))
+    depth_here = sum((F.col(n) for n in names[1:]), F.col("a"))
+    return out.select(*by, "pos", "ref_base", *names, depth_here.alias("depth"), "alt_bases").filter("depth > 0")
+
+
+def _spell_long(counted: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
+    """Deletions longer than the overlap of chunks with their reference text in place of their length."""
+    size = F.when(F.col("s") == "D", F.expr("try_cast(substring(t, 2) AS int)")) + 1
+    long_ones = counted.select("contig", F.col("pos").alias("_start"), size.alias("_size")).filter("_size is not null").distinct()
+    spans = spell(long_ones, chunks, "contig", "_start", "_size", "_long", chunk)
+    spans = spans.select(F.col("contig").alias("_lc"), F.col("_start").alias("_ls"), F.col("_size").alias("_ln"), "_long")
+    sized = counted.withColumn("_size", size)
+    met = sized.join(spans, (F.col("contig") == F.col("_lc")) & (F.col("pos") == F.col("_ls")) & (F.col("_size") == F.col("_ln")), "left")
+    spelled = F.when(F.col("_long").isNotNull(), F.concat(F.lit("-"), F.upper("_long"))).otherwise(F.col("t"))
+    return met.withColumn("t", spelled).select(*counted.columns)
 
 
 def candidate_sites(
@@ -123,23 +200,40 @@ def base_coverage(
 ) -> DataFrame:
     """A, C, G, T counts at listed sites for bases of quality ``min_bq`` or better.
 
-    Sites meet reads in an interval join and each pair looks up one base, so
-    reads are never expanded to all their bases. Sites without reads count 0.
+    Sites become one sorted array per bucket of ``width`` positions. A read's
+    CIGAR is walked once: each aligned stretch, cut at buckets, carries only its
+    own bases and qualities to the bucket's array and looks up what lies inside,
+    so reads are neither expanded to all bases nor copied once per site. Sites
+    without reads count 0.
     """
     by = list(keys or [])
-    kept = reads.filter(R.passes_flag_mask("flag", flag_mask)).select(
-        *by, "contig", F.col("pos").alias("_s"), (F.col("pos") + ref_span("cigar")).alias("_e"), "cigar", "seq", "qual"
-    )
-    places = sites.select(key, "contig", F.col(site).alias("_site"))
-    hits = point_in_interval_join(places, kept, ["contig"], "_site", "_s", "_e", width, "inner", hot_rows, "right")
-    picked = hits.select(*by, key, base_at("_s", "cigar", "seq", "qual", F.col("_site")).alias("_b")).filter(
-        F.col("_b.bq") >= min_bq
+    kept = reads.filter(R.passes_flag_mask("flag", flag_mask) & F.col("cigar").isNotNull() & F.col("seq").isNotNull())
+    carried = list(dict.fromkeys([*by, "contig", "pos", "seq", "qual"]))
+    one = with_steps(kept, carried).select(*carried, F.explode(F.filter("_ops", lambda o: o["op"].isin("M", "=", "X") & (o["len"] > 0))).alias("_o"))
+    start = (F.col("pos") + F.col("_o.r")).cast("long")
+    end = start + F.col("_o.len")
+    one = one.select(*carried, start.alias("_s"), end.alias("_t"), F.col("_o.q").alias("_q"), F.explode(F.sequence(floor_div(start, width), floor_div(end - 1, width))).alias("_bucket"))
+    lo, hi = F.greatest(F.col("_s"), F.col("_bucket") * width), F.least(F.col("_t"), (F.col("_bucket") + 1) * width)
+    at, size = (F.col("_q") + lo - F.col("_s") + 1).cast("int"), (hi - lo).cast("int")
+    cut = one.select(
+        *[F.col(k).alias(f"_k_{k}") for k in by], F.col("contig"), "_bucket", lo.alias("_lo"), hi.alias("_hi"),
+        F.upper(F.substring(F.col("seq"), at, size)).alias("_bases"), F.slice(F.col("qual"), at, size).alias("_quals"),
     )
-    letter = F.upper("_b.base")
-    counts = picked.groupBy(*by, key).agg(
-        *[F.sum(F.when(letter == b, 1).otherwise(0)).cast("long").alias(b.lower()) for b in "ACGT"]
+    places = sites.select(F.col("contig"), F.col(site).cast("long").alias("_site")).groupBy("contig", floor_div("_site", width).alias("_bucket"))
+    arrays = places.agg(F.array_sort(F.collect_set("_site")).alias("_sites"))
+    met = salted_join(cut, arrays, ["contig", "_bucket"], None, "inner", hot_rows)
+    inside = F.filter("_sites", lambda x: (x >= F.col("_lo")) & (x < F.col("_hi")))
+    hits = met.select(*[f"_k_{k}" for k in by], "contig", "_lo", "_bases", "_quals", F.explode(inside).alias("_site"))
+    nth = (F.col("_site") - F.col("_lo")).cast("int")
+    letter = F.substring(F.col("_bases"), nth + 1, F.lit(1))
+    picked = hits.filter(F.get(F.col("_quals"), nth) >= min_bq).select(*[f"_k_{k}" for k in by], "contig", "_site", letter.alias("_b"))
+    counts = picked.groupBy(*[f"_k_{k}" for k in by], "contig", "_site").agg(
+        *[F.sum(F.when(F.col("_b") == b, 1).otherwise(0)).cast("long").alias(f"_n{b.lower()}") for b in "ACGT"]
     )
+    counts = counts.withColumnRenamed("contig", "_contig")
+    same = (F.col("contig") == F.col("_contig")) & (F.col(site) == F.col("_site"))
+    found = sites.join(counts, same, "inner" if by else "left")
+    numbers = [F.coalesce(f"_n{c}", F.lit(0)).cast("long").alias(c) for c in "acgt"]
     if by:
-        return counts
-    filled = sites.join(counts, key, "left")
-    return filled.select(*sites.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in "acgt"])
+        return found.select(*[F.col(f"_k_{k}").alias(k) for k in by], key, *numbers)
+    return found.select(*sites.columns, *numbers)

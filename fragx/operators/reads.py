@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fragx import constants as K
 from fragx.functions import reads as R
+from fragx.operators.ordering import row_numbers
+from fragx.operators.skew import DEFAULT_HOT_ROWS
+from fragx.session import materialize
 
 
 def qc_reads(reads: DataFrame, min_mapq: int = 30, flag="flag", mapq="mapq") -> DataFrame:
@@ -35,26 +39,73 @@ def pair_mates(
     ord: str = "rid",
     flag: str = "flag",
     qlen: str = "qlen",
+    hot_rows: int | None = DEFAULT_HOT_ROWS,
 ) -> DataFrame:
     """Pairs of reads with one name become fragments ``[pos5, pos3)`` with a strand.
 
-    Reads of a name are ranked by (pos, ord) and paired two by two. One shuffle
-    by name; the reads of one name are few, so each name is sorted where it
-    lands. The right end is the right mate's start plus its query length.
+    Reads of a name are ranked by (pos, ord) and paired two by two: 1 with 2, 3
+    with 4, and so on; an odd one at the end stays alone. One shuffle by name
+    and a sort that can spill, so no name is an array. Names of more than
+    ``hot_rows`` reads are ranked over range-partitioned slices instead of in
+    one task; None leaves that out. Null names are one name. The right end is
+    the right mate's start plus its query length.
     """
     slim = reads.select(
-        *keys,
+        *[F.col(k) for k in keys],
         R.base_name(qname).alias("_name"),
         F.struct(
             F.col(pos).cast("long").alias("pos"), F.col(ord).alias("ord"), F.col(flag).alias("flag"),
             F.col(qlen).cast("long").alias("qlen"),
         ).alias("_read"),
     )
-    names = slim.groupBy(*keys, "_name").agg(F.array_sort(F.collect_list("_read")).alias("_reads")).filter(F.size("_reads") > 1)
-    # the reads at 0 and 1, 2 and 3 ...; an odd one at the end stays alone
-    starts = F.sequence(F.lit(0), F.size("_reads") - 2, F.lit(2))
-    paired = F.transform(starts, lambda i: F.struct(F.get("_reads", i).alias("_first"), F.get("_reads", i + 1).alias("_second")))
-    return _fragments(names.select(*keys, F.inline(paired)), keys)
+    group = [*keys, "_name"]
+    hot = _hot_names(slim, group, hot_rows) if hot_rows is not None else None
+    if hot is None:
+        return _fragments(_next_to_each_other(slim, group), keys)
+    common = _same_keys(slim, hot, group, "left_anti")
+    return _fragments(_next_to_each_other(common, group).unionByName(_ranked_pairs(_same_keys(slim, hot, group, "left_semi"), group)), keys)
+
+
+def _same_keys(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join on keys of which null is a value."""
+    renamed = keyed.select(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_h_{i}"))
+    return rows.join(renamed, same, how)
+
+
+#: Hashed names that are counted first: only names in full places are counted one by one.
+NAME_PLACES = 1 << 16
+
+
+def _hot_names(slim: DataFrame, group: list[str], hot_rows: int) -> DataFrame | None:
+    """Names of more than ``hot_rows`` reads, or None. Counts of hashed names combine on the map side to a fixed number of rows."""
+    place = F.pmod(F.xxhash64(*group), F.lit(NAME_PLACES)).alias("_place")
+    named = slim.select(*group, place)
+    full = materialize(named.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select("_place"))
+    if full.isEmpty():
+        return None
+    counted = named.join(full, "_place", "left_semi").groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    hot = materialize(counted.filter(F.col("_n") > hot_rows).select(*group))
+    return None if hot.isEmpty() else hot
+
+
+def _next_to_each_other(slim: DataFrame, group: list[str]) -> DataFrame:
+    """Each odd read of a name with the one after it."""
+    order = Window.partitionBy(*group).orderBy("_read.pos", "_read.ord")
+    seen = slim.select("*", F.row_number().over(order).alias("_nth"), F.lead("_read").over(order).alias("_second"))
+    return seen.filter((F.col("_nth") % 2 == 1) & F.col("_second").isNotNull()).select(*group, F.col("_read").alias("_first"), "_second")
+
+
+def _ranked_pairs(slim: DataFrame, group: list[str]) -> DataFrame:
+    """The same for names of any size: ranks over slices, then groups of two rows."""
+    filled = slim.select(F.struct(*group).alias("_group"), "_read")
+    ranked = row_numbers(filled, [F.col("_read.pos"), F.col("_read.ord")], ["_group"], "_nth")
+    two = ranked.groupBy("_group", F.floor((F.col("_nth") - 1) / 2).alias("_pair")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("_nth", "_read")).alias("_a"), F.max(F.struct("_nth", "_read")).alias("_b")
+    )
+    return two.filter("_n = 2").select("_group.*", F.col("_a._read").alias("_first"), F.col("_b._read").alias("_second"))
 
 
 def _fragments(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,6 +144,53 @@ def mark_duplicates(
     return reads.join(renamed, match, "left").select(*reads.columns, F.col("_best").isNull().alias(name))
 
 
+def mark_duplicate_templates(
+    reads: DataFrame, keys: list[str], qname: str = "qname", rid: str = "rid", contig: str = "contig", flag: str = "flag",
+    name: str = "is_duplicate", min_bq: int = 15, **columns,
+) -> DataFrame:
+    """Flag copies of templates by both of their ends, and lone reads by their one end.
+
+    An end is (contig, clipped 5' position, strand). Two primary mapped reads of
+    one name are a pair, whatever contigs they lie on; pairs with the same two
+    ends are copies, and the one with the largest sum of base qualities of
+    ``min_bq`` or better stays, of equal ones that with the smallest ``rid``.
+    Any other primary mapped read is a lone one: it is a copy if a pair has
+    such an end, or else if a better lone read has it. Both reads of a pair
+    share its flag. Secondary, supplementary and unmapped reads are never
+    flagged and take no part. ``keys`` name a sample or library, in which
+    ``rid`` is unique; null is a value of ``keys`` and of a name.
+
+    Winners come from combined aggregates and meet their reads on ids, so a
+    huge group of copies, or a name of very many reads, stays spread out.
+    """
+    primary = reads.filter(~R.has_flag(flag, K.FLAG_UNMAPPED | K.FLAG_SECONDARY | K.FLAG_SUPPLEMENTARY))
+    keyed = duplicate_keys(primary, flag=flag, min_bq=min_bq, **columns)
+    end = F.struct(F.col(contig).alias("contig"), F.col("five_prime").alias("at"), F.col("reverse").alias("reverse"))
+    slim = keyed.select(*keys, F.col(qname).alias("_name"), end.alias("_end"), F.col(rid).alias("_rid"), F.col("quality_sum").alias("_score"))
+    by_name = slim.groupBy(*keys, "_name").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct("_end", "_rid")).alias("_a"), F.max(F.struct("_end", "_rid")).alias("_b"), F.sum("_score").alias("_score")
+    )
+    pairs = by_name.filter(F.col("_name").isNotNull() & (F.col("_n") == 2))
+    pairs = pairs.select(*keys, "_name", F.col("_a._end").alias("_low"), F.col("_b._end").alias("_high"), F.col("_a._rid").alias("_rid_a"), F.col("_b._rid").alias("_rid_b"), "_score")
+    first_rid = F.least("_rid_a", "_rid_b")
+    best_pairs = pairs.groupBy(*keys, "_low", "_high").agg(F.max_by(F.col("_name"), F.struct(F.col("_score"), -first_rid)).alias("_name"))
+    worse_pairs = _same_keys(pairs, best_pairs, [*keys, "_name"], "left_anti")
+    # lone reads: those of names that are no pair
+    lone = _same_keys(slim, pairs, [*keys, "_name"], "left_anti")
+    ends = pairs.select(*keys, F.explode(F.array("_low", "_high")).alias("_end"), F.lit(None).cast(slim.schema["_rid"].dataType).alias("_rid"), F.lit(None).cast("long").alias("_score"))
+    both = lone.select(*keys, "_end", "_rid", "_score").unionByName(ends)
+    best_lone = both.groupBy(*keys, "_end").agg(
+        F.max(F.col("_rid").isNull()).alias("_paired"), F.max_by(F.col("_rid"), F.when(F.col("_rid").isNotNull(), F.struct(F.col("_score"), -F.col("_rid")))).alias("_rid")
+    )
+    worse_lone = _same_keys(lone, best_lone.filter(~F.col("_paired")), [*keys, "_rid"], "left_anti")
+    copies = worse_pairs.select(*keys, F.explode(F.array("_rid_a", "_rid_b")).alias("_rid")).unionByName(worse_lone.select(*keys, "_rid"))
+    renamed = copies.select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.col("_rid").alias("_copy"))
+    match = F.col(rid) == F.col("_copy")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_d_{k}"))
+    return reads.join(renamed, match, "left").select(*reads.columns, F.col("_copy").isNotNull().alias(name))
+
+
 def duplicate_keys(
     reads: DataFrame, pos: str = "pos", cigar: str = "cigar", flag: str = "flag", qual: str | None = "qual", min_bq: int = 15
 ) -> DataFrame:
@@ -158,28 +256,25 @@ def ref_span(cigar: Column | str) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, n: acc + n.cast("long"))
 
 
-def base_at(pos: str, cigar: str, seq: str, qual: str, site: Column) -> Column:
-    """struct(base, bq) of a read at one reference position; null where it has no base."""
-    found = F.aggregate(
-        R.parse_cigar(cigar),
-        F.struct(
-            F.col(pos).cast("long").alias("r"), F.lit(0).cast("int").alias("q"), F.lit(None).cast("int").alias("hit")
-        ),
-        lambda acc, o: F.struct(
-            (acc["r"] + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["len"]).otherwise(0)).alias("r"),
-            (acc["q"] + F.when(o["op"].isin("M", "=", "X", "I", "S"), o["len"]).otherwise(0)).alias("q"),
-            F.when(
-                o["op"].isin("M", "=", "X") & (site >= acc["r"]) & (site < acc["r"] + o["len"]),
-                (acc["q"] + site - acc["r"]).cast("int"),
-            ).otherwise(acc["hit"]).alias("hit"),
-        ),
-    )["hit"]
-    return F.when(
-        found.isNotNull(),
-        F.struct(
-            F.substring(F.col(seq), found + 1, F.lit(1)).alias("base"), F.get(F.col(qual), found).cast("int").alias("bq")
-        ),
+def with_steps(reads: DataFrame, keep: list[str], cigar: str = "cigar") -> DataFrame:
+    """``keep`` plus ``_ops``: per CIGAR operation op, len, and its offsets r on the reference and q on the read.
+
+    M = X move both axes, I S the read, D N the reference. The text is parsed
+    once per read, and an offset is the sum of the lengths before it.
+    """
+    parsed = reads.select(*keep, R.parse_cigar(cigar).alias("_cigar"))
+
+    def lengths(kinds: str) -> Column:
+        return F.transform("_cigar", lambda o: F.when(o["op"].isin(*kinds), o["len"]).otherwise(0))
+
+    def before(column: str, i: Column) -> Column:
+        return F.aggregate(F.slice(F.col(column), F.lit(1), i), F.lit(0), lambda acc, n: acc + n)
+
+    moved = parsed.select(*keep, "_cigar", lengths("M=XDN").alias("_on_ref"), lengths("M=XIS").alias("_on_read"))
+    step = F.transform(
+        "_cigar", lambda o, i: F.struct(o["op"].alias("op"), o["len"].alias("len"), before("_on_ref", i).alias("r"), before("_on_read", i).alias("q"))
     )
+    return moved.select(*keep, step.alias("_ops"))
 
 
 def expand_alignment(
@@ -209,30 +304,13 @@ def expand_alignment(
     the reference sequence of the window, used to spell deletions (else N).
     Everything is built from native array functions.
     """
-    ops = R.parse_cigar(cigar)
-    # Running offsets of every operation: M = X move both axes, I S the query, D N the reference.
-    step = F.aggregate(
-        ops,
-        F.struct(
-            F.lit(0).cast("int").alias("r"), F.lit(0).cast("int").alias("q"),
-            F.array().cast("array<struct<op:string,len:int,r:int,q:int>>").alias("out"),
-        ),
-        lambda acc, o: F.struct(
-            (acc["r"] + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["len"]).otherwise(0)).alias("r"),
-            (acc["q"] + F.when(o["op"].isin("M", "=", "X", "I", "S"), o["len"]).otherwise(0)).alias("q"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(o["op"].alias("op"), o["len"].alias("len"), acc["r"].alias("r"), acc["q"].alias("q"))),
-            ).alias("out"),
-        ),
-    )["out"]
     lo, hi = (F.col(window[0]), F.col(window[1])) if window else (None, None)
     extra = list(window or ()) + ([ref] if ref else [])
     carried = list(dict.fromkeys([*keep, pos, seq, qual, *extra]))
     base = reads.filter(F.col(cigar).isNotNull() & F.col(seq).isNotNull())
     if window:
         base = base.filter(F.col(pos) < hi)
-    located = base.select(*carried, step.alias("_ops"))
+    located = with_steps(base, carried, cigar)
     # First reference position at which this read keeps a base (or deleted base) inside the window.
     advancing = F.filter(F.col("_ops"), lambda o: o["op"].isin("M", "=", "X", "D"))
     if window:
