@@ -11,16 +11,20 @@ sorts are not mixed, so a teaser beside other articles takes nothing from its
 own. An article of which more than half would go is a version of other
 articles, not boilerplate, and is kept as it is.
 
-The host's streams are compared as a suffix array is: every suffix by its
-first ``RUN`` tokens, as a 64-bit hash with the host and the sort, so that
-equal suffixes meet. Counts combine on the map side, so a host with a third of
-all pages is no hot group.
+The host's streams are compared as a suffix array is, suffixes by their first
+``RUN`` tokens, without a row per token: every window of ``RUN`` tokens first
+shows its minimiser, the smallest hash of ``LEAD`` tokens in it, with the host
+and the sort. Equal windows have equal minimisers, so only windows whose
+minimiser enough streams share are compared as a whole. A batch of pages tells
+at most as many streams of a minimiser or a run as make it boilerplate, so a
+host with a third of all pages is no hot group.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -28,16 +32,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fragx.llm.common import GOLDEN, WordHashes, gram_hashes, mix64, signed, stored
+from fragx.llm.common import GOLDEN, Sieve, WordHashes, gram_hashes, mix64, signed, stored
+from fragx.llm.repeats import retained
 
 RUN = 8
+#: Tokens of a minimiser.
+LEAD = 4
 #: Distinct streams of a host that share a run which counts as boilerplate.
 STREAMS = 3
+#: Shared runs up to which they are sent to the tasks; beyond, pages meet them in a join.
+SENT = 2_000_000
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+CLOSER = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "svg", "math", "object", "canvas", "audio", "video", "select"}
-PARTS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset", "head"}
+RAW = {"script", "style", "title", "textarea", "iframe", "template"}
+PARTS = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "label", "fieldset", "select", "head"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("""address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3
@@ -72,37 +82,69 @@ def is_part(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Position behind the tag whose name ends at ``at``; -1 if none closes. ``last``: last places of > and quotes, and ``quoting``.
+
+    A > inside quotes does not close; a quote without a partner is an ordinary
+    letter. Where no tag closes by these rules, quotes mean nothing from there on.
+    """
+    first = page.find(">", at) if at <= last[">"] else -1
+    while first >= 0:
+        m = CLOSER.search(page, at) if last["quoting"] else None
+        if m is None:
+            last["quoting"] = 0
+            return first + 1
+        if m[0] == ">":
+            return m.end()
+        at = page.find(m[0], m.end()) + 1 if m.start() < last[m[0]] else m.end()
+    return -1
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the blocks of a page in order; character references decoded, white space collapsed."""
+    """(kind, text) of the blocks of a page in order; character references decoded, white space collapsed.
+
+    A < that opens no tag is text. The work grows with the length of the page.
+    """
     out: list[tuple[int, str]] = []
     pieces: list[str] = []
     skipped, depth, article, at = "", 0, 0, 0
+    last = {c: page.rfind(c) for c in ">\"'"} | {"quoting": 1}
 
     def kind() -> int:
         return PART if skipped else ARTICLE if article else OTHER
 
     def flush() -> None:
         if pieces:
-            text = " ".join("".join(pieces).split())
+            text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
                 out.append((kind(), text))
 
-    while True:
-        tag = TAG.search(page, at)
-        if tag is None:
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            pieces.append(page[at:])
             break
-        if tag.start() > at:
-            pieces.append(entities.unescape(page[at : tag.start()]))
-        at = tag.end()
-        if not tag[2]:
+        pieces.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), start) and start < last[">"]:
+            at = page.find(">", start) + 1
+            continue
+        tag = NAME.match(page, start) if start < last[">"] else None
+        end = tag_end(page, tag.end(), last) if tag else -1
+        if end < 0:
+            pieces.append("&lt;")
+            at = start + 1
             continue
-        name, closing = tag[2].lower(), bool(tag[1])
+        name, closing, attributes, at = tag[1].lower(), page[start + 1] == "/", page[tag.end() : end - 1], end
         if name == "br":
             pieces.append(" ")
             continue
         if name in RAW and not closing:
-            if not tag[3].endswith("/"):
+            if not attributes.endswith("/"):
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
                 at = len(page) if end is None else page.find(">", end.end() - 1) + 1 or len(page)
             continue
@@ -130,12 +172,9 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         elif name in MAIN:
             flush()
             article += 1
-        elif name not in VOID and not tag[3].endswith("/") and is_part(name, tag[3], article > 0):
+        elif name not in VOID and not attributes.endswith("/") and is_part(name, attributes, article > 0):
             flush()
             skipped, depth = name, 1
-    if at < len(page) and not page.startswith("<", at):
-        cut = page.find("<", at)
-        pieces.append(entities.unescape(page[at:] if cut < 0 else page[at:cut]))
     flush()
     return out
 
@@ -153,44 +192,94 @@ def _streams(blocks: list[tuple[int, str]]) -> list[list[bytes]]:
 
 
 class Runs:
-    """Hashes of the runs of a stream, with its host and sort."""
+    """Hashes of the runs of a stream, and of the minimisers of its runs, with its host and sort."""
 
     def __init__(self, run: int):
         self.run, self.hashes = run, WordHashes()
 
-    def __call__(self, host: str, inside: int, words: list[bytes]) -> np.ndarray:
+    def __call__(self, host: str, inside: int, words: list[bytes], leads: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+        """Runs, their minimisers (if wanted) and the hash of the whole stream."""
+        if len(words) < self.run:
+            return np.empty(0, np.int64), np.empty(0, np.int64), 0
         place = np.array([xxhash.xxh3_64_intdigest(f"{inside} {host}".encode("utf-8", "replace"))], np.uint64)
-        return mix64(gram_hashes(self.hashes(words), self.run) * GOLDEN + place) if len(words) >= self.run else np.empty(0, np.uint64)
+        hashed = self.hashes(words)
+        first = mix64(retained(hashed, self.run, min(LEAD, self.run)) * GOLDEN + place) if leads else np.empty(0, np.uint64)
+        return signed(mix64(gram_hashes(hashed, self.run) * GOLDEN + place)), signed(first), int(signed(gram_hashes(hashed, len(words)))[0])
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, and kinds and texts of the blocks of every page."""
+
+    def read(batches):
+        for batch in batches:
+            blocks = [blocks_of(page or "") for page in batch.column("html").to_pylist()]
+            columns = [
+                batch.column("page_id"), batch.column("url"), pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string()),
+                pa.array([[k for k, _ in b] for b in blocks], pa.list_(pa.int8())), pa.array([[_clean(t) for _, t in b] for b in blocks], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "kinds", "texts"])
+
+    return pages.mapInArrow(read, "page_id long, url string, host string, kinds array<byte>, texts array<string>")
+
 
-    def whole(self, words: list[bytes]) -> np.ndarray:
-        return gram_hashes(self.hashes(words), len(words))
+def _clean(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
 
 
-def runs(pages: DataFrame, run: int) -> DataFrame:
-    """(run, stream): hashes of the runs of each page's streams, once per stream, and of the whole stream."""
+def _blocks(batch):
+    """(host, blocks) of the rows of a batch of parsed pages."""
+    for host, kinds, texts in zip(*(batch.column(c).to_pylist() for c in ("host", "kinds", "texts"))):
+        yield host, list(zip(kinds, texts))
+
+
+def told(blocks: DataFrame, run: int, streams: int, keep: Callable | None = None) -> DataFrame:
+    """(value, stream): minimisers, or the runs whose minimiser ``keep`` lets through, with the streams that hold them.
+
+    A batch tells at most ``streams`` streams of a value: whether so many hold
+    it can still be counted.
+    """
 
     def read(batches):
         runs_of = Runs(run)
         for batch in batches:
-            found, streams = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                host = host_of(url)
-                for inside, words in enumerate(_streams(blocks_of(page or ""))):
-                    grams = np.unique(runs_of(host, inside, words))
-                    if len(grams):
-                        found.append(grams)
-                        streams.append(np.repeat(runs_of.whole(words), len(grams)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), pa.array(signed(np.concatenate(streams)))], names=["run", "stream"])
+            values, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for host, page in _blocks(batch):
+                for inside, words in enumerate(_streams(page)):
+                    grams, leads, whole = runs_of(host, inside, words)
+                    found = np.unique(leads if keep is None else grams[keep(leads)])
+                    values.append(found)
+                    owners.append(np.full(len(found), whole, np.int64))
+            value, owner = np.concatenate(values), np.concatenate(owners)
+            order = np.lexsort((owner, value))
+            value, owner = value[order], owner[order]
+            new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))[: len(value)]
+            value, owner = value[new], owner[new]
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+            nth = np.arange(len(value)) - np.repeat(first, np.diff(np.append(first, len(value))))
+            yield pa.RecordBatch.from_arrays([pa.array(value[nth < streams]), pa.array(owner[nth < streams])], names=["value", "stream"])
+
+    return blocks.mapInArrow(read, "value long, stream long")
+
+
+def shared_by(rows: DataFrame, streams: int) -> DataFrame:
+    """Values that at least so many distinct streams hold."""
+    return rows.repartition("value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams).select("value")
+
 
-    return pages.mapInArrow(read, "run long, stream long")
+def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, in ascending order."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def covered(grams: np.ndarray, size: int, shared: np.ndarray, run: int) -> np.ndarray:
     """Which of ``size`` tokens of a stream lie in a shared run."""
-    out = np.zeros(size, bool)
-    for at in np.flatnonzero(np.isin(grams, shared)) if len(shared) else ():
-        out[at : at + run] = True
-    return out
+    steps = np.zeros(size + 1, np.int64)
+    at = np.flatnonzero(within(grams, shared))
+    np.add.at(steps, at, 1)
+    np.add.at(steps, at + run, -1)
+    return np.cumsum(steps)[:size] > 0
 
 
 def unique_text(blocks: list[tuple[int, str]], outside: np.ndarray, inside: np.ndarray) -> str:
@@ -210,42 +299,52 @@ def unique_text(blocks: list[tuple[int, str]], outside: np.ndarray, inside: np.n
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def extract(pages: DataFrame, run: int = RUN, streams: int = STREAMS) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, streams: int = STREAMS, sent: int = SENT) -> DataFrame:
     """page_id, url, text and n_chars of every page, blocks joined by a line break.
 
     A null or empty page has an empty text. Pages with a null or odd url share
     the empty host. Equal streams are one stream, so copies of a page or of
     an article do not make it boilerplate. Repeated rows stay repeated; further
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. A very long page costs
+    work and memory in proportion to its length.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    shared = runs(base, run).distinct().groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams)
-    shared = stored(shared.select("run"))
+    blocks = stored(parsed(base).withColumn("row", F.monotonically_increasing_id()))
+    leads = Sieve(shared_by(told(blocks, run, streams), streams), "value")
+    shared = stored(shared_by(told(blocks, run, streams, leads), streams))
+    if shared.count() <= sent:
+        known = blocks.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column("value").to_numpy()))
+        return blocks.mapInArrow(_assemble(run, lambda: known.value), SCHEMA)
+    sieve = Sieve(shared, "value")
 
     def own_runs(batches):
         runs_of = Runs(run)
         for batch in batches:
             grams = []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                host = host_of(url)
-                grams.append(signed(np.unique(np.concatenate([runs_of(host, i, w) for i, w in enumerate(_streams(blocks_of(page or "")))]))))
+            for host, page in _blocks(batch):
+                own = np.unique(np.concatenate([runs_of(host, i, w, leads=False)[0] for i, w in enumerate(_streams(page))]))
+                grams.append(own[sieve(own)])
             rows = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("page").take(rows), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))], names=["page", "run"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(rows), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))], names=["row", "value"])
+
+    # a page's own shared runs, as many as it has tokens
+    found = blocks.select("row", "host", "kinds", "texts").mapInArrow(own_runs, "row long, value long").join(shared, "value")
+    found = found.groupBy("row").agg(F.array_sort(F.collect_list("value")).alias("found"))
+    return blocks.join(found, "row", "left").mapInArrow(_assemble(run), SCHEMA)
+
 
-    def assemble(batches):
+def _assemble(run: int, known: Callable | None = None) -> Callable:
+    """Texts of pages from their blocks, without the runs that are known or listed with the page."""
+
+    def read(batches):
         runs_of = Runs(run)
         for batch in batches:
             texts = []
-            for url, page, found in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "found"))):
-                blocks, host, known = blocks_of(page or ""), host_of(url), np.array(found or [], np.int64).view(np.uint64)
-                texts.append(unique_text(blocks, *(covered(runs_of(host, i, w), len(w), known, run) for i, w in enumerate(_streams(blocks)))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
-
-    keyed = base.withColumn("page", F.xxhash64("page_id", "url", "html"))
-    # a page's own shared runs, as many as it has tokens
-    found = keyed.select("page", "url", "html").mapInArrow(own_runs, "page long, run long").join(shared, "run")
-    found = found.groupBy("page").agg(F.collect_set("run").alias("found"))
-    return keyed.join(found, "page", "left").select("page_id", "url", "html", "found").mapInArrow(assemble, SCHEMA)
+            listed = batch.column("found").to_pylist() if known is None else None
+            for at, (host, page) in enumerate(_blocks(batch)):
+                shared = known() if known else np.array(listed[at] or [], np.int64)
+                texts.append(unique_text(page, *(covered(runs_of(host, i, w, leads=False)[0], len(w), shared, run) for i, w in enumerate(_streams(page)))))
+            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+
+    return read
