@@ -21,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written once to the folder all executors share and read back.
 
     Later uses neither repeat the work nor see another cut of it, and a lost
     executor costs nothing. The files go with the folder.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +74,26 @@ class WordHashes:
         return np.array(found, np.uint64)
 
 
+_rng = np.random.default_rng(20240229)
+#: A random number per byte, and an odd base: a word's hash is the sum of its bytes' numbers times powers of the base.
+BYTES, BASE = _rng.integers(1, 1 << 63, 256, np.uint64), np.uint64(0x9E6C63D0876A9A47)
+
+
+def token_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words between spaces, without a step per word."""
+    letters = np.frombuffer(data, np.uint8)
+    inside = letters != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    place = np.arange(len(letters))
+    offset = place - np.maximum.accumulate(np.where(first, place, 0))
+    powers = np.cumprod(np.full(int(offset.max()) + 1, BASE))
+    return mix64(np.add.reduceat(np.where(inside, BYTES[letters] * powers[offset], np.uint64(0)), starts))
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of every run of ``n`` words, from the words' hashes."""
     if len(words) < n:
@@ -93,6 +113,31 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def window_sums(words: np.ndarray, n: int) -> np.ndarray:
+    """For every run of ``n`` words the sum of their hashes times powers of a base: cheaper than ``gram_hashes``, to be mixed at the end."""
+    size = len(words) - n + 1
+    out, run, length, at, power = np.zeros(size, np.uint64), words, 1, 0, int(BASE)
+    while True:
+        if n & 1:
+            out = out * np.uint64(power) + run[at : at + size]
+            at += length
+        n >>= 1
+        if not n:
+            return out
+        run = run[: len(run) - length] * np.uint64(power) + run[length:]
+        length, power = 2 * length, power * power % (1 << 64)
+
+
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours, from minima of shorter spans that overlap."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values = np.minimum(values[: len(values) - step], values[step:])
+        span += step
+    return values
+
+
 def texts_of(batch, name: str = "text") -> list[str]:
     """A column of texts; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -15,7 +15,7 @@ The host's streams are compared as a suffix array is, suffixes by their first
 ``RUN`` tokens, without a row per token: every window of ``RUN`` tokens first
 shows its minimiser, the smallest hash of ``LEAD`` tokens in it, with the host
 and the sort. Equal windows have equal minimisers, so only windows whose
-minimiser enough streams share are compared as a whole. A batch of pages tells
+minimiser other streams share are compared as a whole. A batch of pages tells
 at most as many streams of a minimiser or a run as make it boilerplate, so a
 host with a third of all pages is no hot group.
 """
@@ -32,8 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fragx.llm.common import GOLDEN, Sieve, WordHashes, gram_hashes, mix64, signed, stored
-from fragx.llm.repeats import retained
+from fragx.llm.common import Sieve, mix64, signed, sliding_minima, stored, token_hashes, window_sums
 
 RUN = 8
 #: Tokens of a minimiser.
@@ -186,25 +185,26 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _streams(blocks: list[tuple[int, str]]) -> list[list[bytes]]:
-    """The words outside and inside articles."""
-    return [[w.encode("utf-8", "replace") for k, text in blocks if (k == ARTICLE) == inside for w in text.split(" ")] for inside in (False, True)]
+def _streams(blocks: list[tuple[int, str]]) -> list[np.ndarray]:
+    """Hashes of the words outside and inside articles."""
+    return [token_hashes(" ".join([text for k, text in blocks if (k == ARTICLE) == inside]).encode("utf-8", "replace")) for inside in (False, True)]
 
 
 class Runs:
     """Hashes of the runs of a stream, and of the minimisers of its runs, with its host and sort."""
 
     def __init__(self, run: int):
-        self.run, self.hashes = run, WordHashes()
+        self.run = run
 
-    def __call__(self, host: str, inside: int, words: list[bytes], leads: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    def __call__(self, host: str, inside: int, words: np.ndarray, leads: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
         """Runs, their minimisers (if wanted) and the hash of the whole stream."""
         if len(words) < self.run:
             return np.empty(0, np.int64), np.empty(0, np.int64), 0
         place = np.array([xxhash.xxh3_64_intdigest(f"{inside} {host}".encode("utf-8", "replace"))], np.uint64)
-        hashed = self.hashes(words)
-        first = mix64(retained(hashed, self.run, min(LEAD, self.run)) * GOLDEN + place) if leads else np.empty(0, np.uint64)
-        return signed(mix64(gram_hashes(hashed, self.run) * GOLDEN + place)), signed(first), int(signed(gram_hashes(hashed, len(words)))[0])
+        lead = min(LEAD, self.run)
+        first = sliding_minima(mix64(window_sums(words, lead) + place), self.run - lead + 1) if leads else np.empty(0, np.uint64)
+        whole = xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
+        return signed(mix64(window_sums(words, self.run) + place)), signed(first), whole
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -232,38 +232,71 @@ def _blocks(batch):
         yield host, list(zip(kinds, texts))
 
 
-def told(blocks: DataFrame, run: int, streams: int, keep: Callable | None = None) -> DataFrame:
-    """(value, stream): minimisers, or the runs whose minimiser ``keep`` lets through, with the streams that hold them.
-
-    A batch tells at most ``streams`` streams of a value: whether so many hold
-    it can still be counted.
+def _told(blocks_of_batch, runs_of: Runs, streams: int, keep: Callable | None) -> tuple[np.ndarray, np.ndarray]:
+    """Values and the streams that hold them, in order; at most ``streams`` of a value."""
+    values, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for host, page in blocks_of_batch:
+        for inside, words in enumerate(_streams(page)):
+            grams, leads, whole = runs_of(host, inside, words)
+            found = np.unique(leads if keep is None else grams[keep(leads)])
+            values.append(found)
+            owners.append(np.full(len(found), whole, np.int64))
+    value, owner = np.concatenate(values), np.concatenate(owners)
+    order = np.lexsort((owner, value))
+    value, owner = value[order], owner[order]
+    new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))[: len(value)]
+    value, owner = value[new], owner[new]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+    nth = np.arange(len(value)) - np.repeat(first, np.diff(np.append(first, len(value))))
+    return value[nth < streams], owner[nth < streams]
+
+
+def shared_runs(blocks: DataFrame, run: int, streams: int, keep: Callable) -> DataFrame:
+    """Runs that at least so many distinct streams hold, of windows whose minimiser ``keep`` lets through.
+
+    A batch tells at most ``streams`` streams of a run: whether so many hold it
+    can still be counted.
     """
 
     def read(batches):
         runs_of = Runs(run)
         for batch in batches:
-            values, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for host, page in _blocks(batch):
-                for inside, words in enumerate(_streams(page)):
-                    grams, leads, whole = runs_of(host, inside, words)
-                    found = np.unique(leads if keep is None else grams[keep(leads)])
-                    values.append(found)
-                    owners.append(np.full(len(found), whole, np.int64))
-            value, owner = np.concatenate(values), np.concatenate(owners)
-            order = np.lexsort((owner, value))
-            value, owner = value[order], owner[order]
-            new = np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1]))[: len(value)]
-            value, owner = value[new], owner[new]
-            first = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
-            nth = np.arange(len(value)) - np.repeat(first, np.diff(np.append(first, len(value))))
-            yield pa.RecordBatch.from_arrays([pa.array(value[nth < streams]), pa.array(owner[nth < streams])], names=["value", "stream"])
+            value, owner = _told(_blocks(batch), runs_of, streams, keep)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(owner)], names=["value", "stream"])
+
+    rows = blocks.mapInArrow(read, "value long, stream long").repartition("value").distinct()
+    return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams).select("value")
+
+
+#: Bits of a row of ``shared_leads`` that tell streams apart; the others are those of the minimiser.
+TAG = 20
+
+
+def shared_leads(blocks: DataFrame, run: int) -> DataFrame:
+    """Minimisers (without their last bits) that two streams or more hold.
 
-    return blocks.mapInArrow(read, "value long, stream long")
+    One number per row: minimiser and stream. Few bits tell streams apart, so
+    two suffice here; whether a run has enough is counted with whole hashes.
+    """
 
+    def read(batches):
+        runs_of = Runs(run)
+        for batch in batches:
+            value, owner = _told(_blocks(batch), runs_of, 2, None)
+            tag = (signed(mix64(owner.view(np.uint64))) & ((1 << TAG) - 1)) if len(owner) else owner
+            yield pa.RecordBatch.from_arrays([pa.array((value >> TAG << TAG) | tag)], names=["told"])
 
-def shared_by(rows: DataFrame, streams: int) -> DataFrame:
-    """Values that at least so many distinct streams hold."""
-    return rows.repartition("value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams).select("value")
+    def compare(batches):
+        last = np.empty(0, np.int64)
+        for batch in batches:
+            told = np.append(last, batch.column("told").to_numpy())
+            lead = told >> TAG
+            found = lead[1:][(lead[1:] == lead[:-1]) & (told[1:] != told[:-1])]
+            last = told[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["value"])
+
+    rows = blocks.mapInArrow(read, "told long").repartition(F.shiftright("told", TAG)).sortWithinPartitions("told")
+    return rows.mapInArrow(compare, "value long")
 
 
 def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -288,11 +321,12 @@ def unique_text(blocks: list[tuple[int, str]], outside: np.ndarray, inside: np.n
         inside = np.zeros(len(inside), bool)
     out, cover, at = [], (outside, inside), [0, 0]
     for kind, text in blocks:
-        sort, words = int(kind == ARTICLE), text.split(" ")
-        kept = [w for w, c in zip(words, cover[sort][at[sort] : at[sort] + len(words)]) if not c]
-        at[sort] += len(words)
-        if kind != PART and kept:
-            out.append(" ".join(kept))
+        sort, size = int(kind == ARTICLE), text.count(" ") + 1
+        gone = cover[sort][at[sort] : at[sort] + size]
+        at[sort] += size
+        if kind == PART or gone.all():
+            continue
+        out.append(" ".join([w for w, g in zip(text.split(" "), gone) if not g]) if gone.any() else text)
     return "\n".join(out)
 
 
@@ -303,15 +337,15 @@ def extract(pages: DataFrame, run: int = RUN, streams: int = STREAMS, sent: int
     """page_id, url, text and n_chars of every page, blocks joined by a line break.
 
     A null or empty page has an empty text. Pages with a null or odd url share
-    the empty host. Equal streams are one stream, so copies of a page or of
+    the empty host. ``streams`` is two or more; equal streams are one stream, so copies of a page or of
     an article do not make it boilerplate. Repeated rows stay repeated; further
     columns are ignored; an empty table gives no rows. A very long page costs
     work and memory in proportion to its length.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    blocks = stored(parsed(base).withColumn("row", F.monotonically_increasing_id()))
-    leads = Sieve(shared_by(told(blocks, run, streams), streams), "value")
-    shared = stored(shared_by(told(blocks, run, streams, leads), streams))
+    blocks = stored(parsed(base).withColumn("row", F.monotonically_increasing_id()), "zstd")
+    leads = blocks.sparkSession.sparkContext.broadcast(Sieve(shared_leads(blocks, run), "value"))
+    shared = stored(shared_runs(blocks, run, streams, lambda found: leads.value(found >> TAG)))
     if shared.count() <= sent:
         known = blocks.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column("value").to_numpy()))
         return blocks.mapInArrow(_assemble(run, lambda: known.value), SCHEMA)
