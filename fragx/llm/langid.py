@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fragx.llm.common import texts_of
+from fragx.llm.common import stored, texts_of
 
 #: Words and n-grams of all languages together in the model; it is collected and broadcast.
 MAX_WORDS = 200_000
@@ -29,14 +29,23 @@ def letter_words(piece: str) -> list[str]:
 
 
 def _capped(counts: DataFrame, value: str, limit: int) -> DataFrame:
-    """Per language the entries of the largest counts, ``limit`` at most, without sorting the entries.
+    """Per language the entries of the largest counts, about ``limit``, without sorting the entries.
 
-    The smallest count to keep comes from the histogram of counts, so no task sees a whole language.
+    The histogram of counts gives the smallest count that fits as a whole, so no
+    task sees a language. Of the entries that tie at the next count those of the
+    smallest hashes fill what is left: rare entries of equal counts neither all
+    go nor all stay.
     """
     shape = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries"))
     above = shape.withColumn("upto", F.sum("entries").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
-    least = above.filter(F.col("upto") <= limit).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select("lang", value, "n")
+    fits = F.col("upto") <= limit
+    room = F.try_divide(F.lit(limit) - (F.col("upto") - F.col("entries")), F.col("entries"))
+    cut = above.groupBy("lang").agg(  # one row per language
+        F.min(F.when(fits, F.col("n"))).alias("whole"), F.max(F.when(~fits, F.struct("n", room.alias("share")))).alias("part")
+    )
+    place = F.xxhash64(value).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    kept = (F.col("n") >= F.col("whole")) | ((F.col("n") == F.col("part.n")) & (place < F.col("part.share")))
+    return counts.join(F.broadcast(cut), "lang").filter(kept).select("lang", value, "n")
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -63,45 +72,51 @@ def word_counts(train: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, gram, n) of the 1- to 5-grams of all counted words, each word between spaces."""
+    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    every = F.flatten(F.array(*[
+        F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        for n in range(1, LONGEST_GRAM + 1)
+    ]))
+    spread = words.select("lang", "n", F.explode(every).alias("gram")).filter(F.col("gram") != " ")
+    return spread.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
     """Penalties (negative log10 frequency per language) of words and n-grams.
 
-    All training documents are counted; the model keeps the most frequent
-    entries, ``max_words`` and ``max_grams`` over all languages.
+    All training documents are counted, and the n-grams of all their words, on
+    Spark. The model that goes to the tasks keeps the most frequent entries,
+    about ``max_words`` and ``max_grams`` over all languages; their frequencies
+    are those in the whole corpus. A word beyond that is scored by its n-grams,
+    like any word that was never seen, so no language depends on the limit.
     """
     train = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r[0] for r in train.select("lang").distinct().collect())
+    counted = stored(word_counts(train))
+    sizes = {lang: n for lang, n in counted.groupBy("lang").agg(F.sum("n")).collect()}
+    langs = sorted(sizes)
     if not langs:
         return {"langs": [], "words": {}, "grams": {}, "prior": 0}
-    words = _capped(word_counts(train), "word", max(1, max_words // len(langs))).collect()
-    spark = train.sparkSession
-    frame = spark.createDataFrame(words, "lang string, word string, n long") if words else None
-    grams = []
-    if frame is not None:
-        padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-        every = F.flatten(F.array(*[
-            F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            for n in range(1, LONGEST_GRAM + 1)
-        ]))
-        spread = frame.repartition(8).select("lang", "n", F.explode(every).alias("gram")).filter(F.col("gram") != " ")
-        grams = _capped(spread.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", max(1, max_grams // len(langs))).collect()
+    spread = stored(gram_counts(counted))
+    lengths = spread.groupBy("lang", F.length("gram").alias("length")).agg(F.sum("n").alias("n"))
+    gram_sizes = {(lang, length): n for lang, length, n in lengths.collect()}  # five per language
+    words = _capped(counted, "word", max(1, max_words // len(langs))).collect()
+    grams = _capped(spread, "gram", max(1, max_grams // len(langs))).collect()
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def penalties(rows, kinds):
-        totals: dict = {}
-        for lang, value, n in rows:
-            totals[at[lang], kinds(value)] = totals.get((at[lang], kinds(value)), 0) + n
-        logs = [(at[lang], value, -np.log10(n / totals[at[lang], kinds(value)])) for lang, value, n in rows]
+    def penalties(rows, total):
+        logs = [(at[lang], value, -np.log10(n / total(lang, value))) for lang, value, n in rows]
         worst = max((p for _, _, p in logs), default=0) + UNSEEN
         table: dict = {}
         for i, value, p in logs:
             table.setdefault(value, np.full(len(langs), worst, np.float32))[i] = p
         return table
 
-    sizes = np.zeros(len(langs))
-    for lang, _, n in words:
-        sizes[at[lang]] += n
-    return {"langs": langs, "words": penalties(words, lambda w: 0), "grams": penalties(grams, len), "prior": int(sizes.argmax())}
+    return {
+        "langs": langs, "words": penalties(words, lambda lang, _: sizes[lang]),
+        "grams": penalties(grams, lambda lang, gram: gram_sizes[lang, len(gram)]), "prior": max(range(len(langs)), key=lambda i: sizes[langs[i]]),
+    }
 
 
 def evidence(word: str, words: dict[str, int], grams: dict[str, int]) -> tuple[bool, list[int]]:

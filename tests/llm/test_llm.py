@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -209,33 +210,87 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), duplicates, len(inside), failed
 
 
-def brute_ratio(docs, trusted):
-    raw, target, hashes = collections.Counter(), collections.Counter(), WordHashes()
-    for doc_id, text in docs:
-        words = (text or "").encode().split()
-        if words:
-            found = quality.features(hashes(words)).tolist()
-            raw.update(found)
-            if doc_id in trusted:
-                target.update(found)
-    n, m, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
-    return [np.log((target[i] + 1) / (m + b)) - np.log((raw[i] + 1) / (n + b)) if m else 0.0 for i in range(b)]
+def brute_scores(docs, trusted):
+    """Scores by plain counting over all other documents."""
+    hashes = WordHashes()
+    found = [collections.Counter(quality.features(hashes((t or "").encode().split())).tolist() if (t or "").split() else []) for _, t in docs]
+    raw, target = collections.Counter(), collections.Counter()
+    for (doc_id, _), f in zip(docs, found):
+        raw.update(f)
+        if doc_id in trusted:
+            target.update(f)
+    n, m, out = raw.total(), target.total(), []
+    for (doc_id, _), f in zip(docs, found):
+        own, k = f.total(), quality.PRIOR
+        mine = lambda i, f=f, doc_id=doc_id: f[i] if doc_id in trusted else 0
+        size = m - (own if doc_id in trusted else 0)
+        logs = [c * math.log((target[i] - mine(i) + k) / (size * (raw[i] - c) / max(n - own, 1) + k)) for i, c in f.items()]
+        out.append((sum(logs) / own if m else 0.0) if own else None)
+    return out
+
+
+def brute_threshold(rows, scores, trusted, bad):
+    passed = {(d, s) for (d, t), s in zip(rows, scores) if not brute_counts(t)[-1]}
+    good, worse = [s for d, s in passed if d in trusted], [s for d, s in passed if d in bad]
+    share = lambda x, at: sum(s >= at for s in x) / max(len(x), 1)
+    places = sorted(p for p in good + worse if share(good, p) >= 0.99)
+    if not good:
+        return -math.inf
+    best = max(places, key=lambda at: (round(share(good, at) - share(worse, at), 12), -at))
+    lower = [p for p in places if p < best]
+    return (lower[-1] + best) / 2 if lower else best
 
 
 def test_quality_counts_and_score(spark, documents, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    bad = {r.doc_id for r in labels.collect() if r.quality == 0}
     for docs in (documents, odd):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
-        ratio = brute_ratio(rows, trusted)
-        hashes, want = WordHashes(), []
-        for doc_id, text in rows:
+        scores, want = brute_scores(rows, trusted), []
+        threshold = brute_threshold(rows, scores, trusted, bad)
+        model = quality.fit(docs, labels)
+        assert model.threshold == pytest.approx(threshold)
+        for (doc_id, text), value in zip(rows, scores):
             *counts, failed = brute_counts(text)
-            words = (text or "").encode().split()
-            value = float(np.mean([ratio[i] for i in quality.features(hashes(words))])) if words else None
-            want.append((str(doc_id), *counts, failed, not failed and value >= quality.THRESHOLD, None if value is None else round(value, 9)))
-        got = [(str(r.doc_id), *r[1:8], None if r.score is None else round(r.score, 9)) for r in quality.quality_rules(docs, labels).collect()]
+            kept = not failed and (value >= threshold or value == pytest.approx(threshold))
+            want.append((str(doc_id), *counts, failed, kept, None if value is None else round(value, 8) + 0.0))
+        got = [(str(r.doc_id), *r[1:8], None if r.score is None else round(r.score, 8) + 0.0) for r in quality.quality_rules(docs, labels).collect()]
         assert collections.Counter(got) == collections.Counter(want)
+        assert sorted(str(r.doc_id) for r in quality.keep(docs, model).collect()) == sorted(g[0] for g in got if g[7])
+
+
+def test_quality_keeps_alike_at_any_size_and_language():
+    """Of unlabelled documents that pass the base rules nine in ten stay, and languages differ by less than ten points."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    read = lambda what: duckdb.sql(f"SELECT {what} FROM '{sf}/documents.parquet' d LEFT JOIN '{sf}/labels.parquet' l USING (doc_id)").fetchall()
+    rows = read("doc_id, text, lang, quality, toxic")
+    hashes = WordHashes()
+    trusted = np.sort([r[0] for r in rows if r[3] == 1 and not r[4]])
+    model = quality.Model(np.zeros(quality.BUCKETS, np.int64), np.zeros(quality.BUCKETS, np.int64), trusted)
+    for doc_id, text, *_ in rows:
+        words = (text or "").encode().split()
+        if words:
+            found = np.bincount(quality.features(hashes(words)), minlength=quality.BUCKETS)
+            model.raw += found
+            model.target += found * bool(model.trusts([doc_id])[0])
+    model.raw_size, model.target_size = int(model.raw.sum()), int(model.target.sum())
+    judge = quality.Judge(model)
+    said = [judge(r[1] or "", bool(model.trusts([r[0]])[0])) for r in rows]
+    model.threshold = quality.best_cut(*[np.array([s[-1] for r, s in zip(rows, said) if not s[5] and ok(r)]) for ok in (lambda r: r[3] == 1 and not r[4], lambda r: r[3] == 0)])
+    kept = lambda ok: np.mean([s[-1] >= model.threshold for r, s in zip(rows, said) if not s[5] and ok(r)])
+    assert kept(lambda r: r[3] is None) > 0.9 and kept(lambda r: r[3] == 1) > 0.97 and kept(lambda r: r[3] == 0) < 0.2
+    shares = [kept(lambda r, lang=lang: r[3] is None and r[2] == lang) for lang in ("en", "de", "fr", "es")]
+    assert max(shares) - min(shares) < 0.1
+
+
+def test_best_cut():
+    assert quality.best_cut(np.array([1.0, 2.0, 3.0]), np.array([-5.0, -4.0])) == -1.5
+    assert quality.best_cut(np.array([1.0, 2.0]), np.array([])) == 1.0
+    assert quality.best_cut(np.array([]), np.array([1.0])) == -np.inf
+    assert quality.best_cut(np.array([2.0]), np.array([5.0])) == 2.0
 
 
 def test_quality_without_trusted_or_rows(odd, nothing, spark):
@@ -274,6 +329,80 @@ def test_language_odd_input(odd, nothing, spark):
     assert all((r.lang_pred == "und") == (r.doc_id in (1, 2, 3)) for r in rows)
 
 
+def brute_language(train, docs):
+    """Predictions by the documented rule with counters, without limits."""
+    words, grams = {}, {}
+    for text, lang in train:
+        for w in langid.letter_words(text or ""):
+            words.setdefault(lang, collections.Counter())[w] += 1
+    for lang, counts in words.items():
+        grams[lang] = collections.defaultdict(collections.Counter)
+        for w, c in counts.items():
+            for n in range(1, 6):
+                for i in range(len(w) + 3 - n):
+                    gram = f" {w} "[i : i + n]
+                    if gram != " ":
+                        grams[lang][n][gram] += c
+    langs = sorted(words)
+    log = lambda n, total: -math.log10(n / total)
+    worst_word = max(log(c, words[x].total()) for x in langs for c in words[x].values()) + 1
+    worst_gram = max(log(c, g.total()) for x in langs for g in grams[x].values() for c in g.values()) + 1
+    penalty = lambda found, value, worst: log(found[value], found.total()) if found[value] else worst
+    known = {}
+
+    def of_word(w):
+        if any(words[x][w] for x in langs):
+            return [penalty(words[x], w, worst_word) for x in langs]
+        for n in range(min(5, len(w) + 2), 0, -1):
+            parts = [p for p in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if any(grams[x][n][p] for x in langs)]
+            if parts:
+                return [sum(penalty(grams[x][n], p, worst_gram) for p in parts) / len(parts) for x in langs]
+        return None
+
+    out = []
+    for text in docs:
+        found = []
+        for w in langid.letter_words(text or ""):
+            if w not in known:
+                known[w] = of_word(w)
+            found.append(known[w])
+        seen = [f for f in found if f]
+        if not found:
+            out.append(("und", 0.0))
+        elif not seen:
+            out.append((max(langs, key=lambda x: words[x].total()), 0.0))
+        else:
+            mean = [sum(f[i] for f in seen) / len(seen) for i in range(len(langs))]
+            best = min(mean)
+            out.append((langs[mean.index(best)], 1 / sum(10 ** (best - m) for m in mean)))
+    return out
+
+
+def test_language_against_plain_python(spark, documents):
+    rng = np.random.default_rng(3)
+    made = [(i, " ".join("".join(rng.choice(list("abcé" if i % 2 else "bcdß"), rng.integers(1, 9))) for _ in range(12)), "xy"[i % 2]) for i in range(300)]
+    for docs in (documents, spark.createDataFrame(made, "doc_id long, text string, lang string")):
+        rows = docs.collect()
+        train = [(r.text, r.lang) for r in rows if r.lang and not langid.is_held_out(r.doc_id)]
+        want = dict(zip([r.doc_id for r in rows], brute_language(train, [r.text for r in rows])))
+        model = langid.fit(docs.filter(~langid.held_out()), max_words=10**7, max_grams=10**7)  # everything fits
+        for r in langid.predict(docs, model).collect():
+            lang, score = want[r.doc_id]
+            assert r.score == pytest.approx(score, abs=1e-4) and (r.lang_pred == lang or score < 0.5 + 1e-4)
+
+
+def test_language_of_rare_words_survives_the_limit(spark):
+    """More words of equal counts than the limit: part of them stays, the others are known by their n-grams."""
+    rng = np.random.default_rng(4)
+    rare = lambda letters: " ".join("".join(rng.choice(list(letters), 9)) for _ in range(200))
+    rows = [(i, rare("klmnop"), "xx") for i in range(40)] + [(i, "the house of the rising sun and the sea", "en") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_words=100, max_grams=10_000)
+    assert 20 <= sum(len(w) == 9 for w in model["words"]) <= 80
+    said = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert all(said[i] == lang for i, _, lang in rows)
+
+
 def test_word_backoff_prefers_longest_known_grams():
     words, grams = {"haus": 7}, {"th": 1, "h": 2, "hx ": 3}
     assert langid.evidence("haus", words, grams) == (True, [7])

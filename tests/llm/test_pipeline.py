@@ -23,8 +23,9 @@ def test_stages_against_plain_python(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     want = {r.doc_id: r.asDict() for r in docs.collect()}
 
-    judge = quality.Judge(quality.fit(docs, labels), quality.THRESHOLD)
-    want = {i: r for i, r in want.items() if judge(r["text"] or "")[-2]}
+    model = quality.fit(docs, labels)
+    judge = quality.Judge(model)
+    want = {i: r for i, r in want.items() if judge(r["text"] or "", bool(model.trusts([i])[0]))[-2]}
     now = stage("quality")(spark, docs, SF)
     assert {r.doc_id: r.asDict() for r in now.collect()} == want
 
