@@ -75,10 +75,12 @@ def word_counts(train: DataFrame) -> DataFrame:
 def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, gram, n) of the 1- to 5-grams of all counted words, each word between spaces."""
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    every = F.flatten(F.array(*[
-        F.when(F.length(padded) >= n, F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(1, LONGEST_GRAM + 1)
-    ]))
+
+    def grams(n: int):
+        places = F.sequence(F.lit(1), F.length(padded) - (n - 1))
+        return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    every = F.flatten(F.array(*[grams(n) for n in range(1, LONGEST_GRAM + 1)]))
     spread = words.select("lang", "n", F.explode(every).alias("gram")).filter(F.col("gram") != " ")
     return spread.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
