@@ -82,3 +82,43 @@ def grid_search(
         evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
     )
     return search.fit(as_vectors(rows, features))
+
+
+def grouped_folds(rows: DataFrame, group: str, label: str, folds: int, seed: int = 42, name: str = "fold") -> DataFrame:
+    """``rows`` with a fold from 0 on: all rows of a group share it, and folds get alike numbers of rows of each class.
+
+    A group counts as its commonest class (the smallest of equals). The groups of a class are
+    ordered by falling size, ties by a seeded hash, and dealt to and fro over
+    the folds. Only one row per group is ordered, in slices. Rows with a null group
+    make one group.
+    """
+    from fragx.operators.ordering import row_numbers, shuffle_key
+
+    counts = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.max_by(label, F.struct("_n", (-F.col(label).cast("double")).alias("low"))).alias("_class")
+    groups = counts.groupBy(group).agg(F.sum("_n").alias("_n"), first).withColumn("_hash", shuffle_key(group, seed))
+    ranked = row_numbers(groups, [F.col("_n").desc(), F.col("_hash"), F.col(group)], ["_class"], "_rn")
+    lap, place = F.floor((F.col("_rn") - 1) / folds), (F.col("_rn") - 1) % folds
+    fold = F.when(lap % 2 == 0, place).otherwise(folds - 1 - place).cast("int")
+    dealt = ranked.select(F.col(group).alias("_group"), fold.alias(name))
+    return rows.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def cross_validate(
+    rows: DataFrame, group: str, features: str = "features", label: str = "label", folds: int = 3, seed: int = 42, **params
+) -> DataFrame:
+    """Every row with the probabilities of the model that did not see its group, and its ``fold``.
+
+    One model per fold, with class weights balanced within its training rows.
+    ``class_metrics`` over ``confusion_matrix(..., keys=["fold"])`` gives metrics per split.
+    """
+    from functools import reduce
+
+    from fragx.session import materialize
+
+    split = materialize(grouped_folds(rows, group, label, folds, seed))
+    held = []
+    for fold in range(folds):
+        model = fit_classifier(split.filter(F.col("fold") != fold), features, label, **params)
+        held.append(predict_classes(model, split.filter(F.col("fold") == fold), features))
+    return reduce(DataFrame.unionByName, held)
