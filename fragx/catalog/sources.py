@@ -13,7 +13,7 @@ from fragx.operators import bins as B
 from fragx.operators.genome import chunks_of_lines
 from fragx.operators.reads import qc_reads
 from fragx.session import ensure_checkpoint_dir
-from fragx.sources import bed, fasta, maf, panels, records, sam, vcf, wig
+from fragx.sources import bed, chain, fasta, layout, maf, panels, records, sam, vcf, wig
 
 
 def folder(spark, name):
@@ -159,3 +159,36 @@ def panel_round_trip(spark, sf_dir):
     arms = counts.groupBy("contig").agg(*figures).select(F.lit("arm").alias("level"), F.col("contig").alias("key"), "mean", "std")
     panels.table_to_panel(arms.unionByName(bins)).write.text(path)
     return panels.panel_to_table(spark, path)
+
+
+BLOCKS = {
+    "aligned_blocks": """SELECT CONCAT('chr', 1 + l_orderkey % 22) AS src_contig, CAST(1000 * (l_orderkey % 1000) + 200 * l_linenumber AS BIGINT) AS src_start,
+      CAST(1000 * (l_orderkey % 1000) + 200 * l_linenumber + 20 + floor(l_quantity) AS BIGINT) AS src_end, CONCAT('new', 1 + l_orderkey % 7) AS tgt_contig,
+      CAST(CASE WHEN l_orderkey % 2 = 0 THEN 5000 + 150 * l_linenumber ELSE 2000000 - 5020 - 150 * l_linenumber - floor(l_quantity) END AS BIGINT) AS tgt_start,
+      CASE WHEN l_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(l_orderkey AS VARCHAR) AS chain
+      FROM (SELECT l_orderkey, l_linenumber, MAX(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) l"""
+}
+
+
+@register("chain_round_trip", "SELECT src_contig, src_start, src_end, tgt_contig, tgt_start, strand, chain FROM aligned_blocks", BLOCKS)
+def chain_round_trip(spark, sf_dir):
+    key, at, n = F.col("l_orderkey"), F.col("l_linenumber"), F.floor("l_quantity")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    blocks = lines.select(
+        F.concat(F.lit("chr"), 1 + key % 22).alias("src_contig"), (1000 * (key % 1000) + 200 * at).cast("long").alias("src_start"),
+        (1000 * (key % 1000) + 200 * at + 20 + n).cast("long").alias("src_end"), F.concat(F.lit("new"), 1 + key % 7).alias("tgt_contig"),
+        F.when(key % 2 == 0, 5000 + 150 * at).otherwise(2_000_000 - 5020 - 150 * at - n).cast("long").alias("tgt_start"),
+        F.when(key % 2 == 0, "+").otherwise("-").alias("strand"), key.cast("string").alias("chain"),
+    )
+    size = F.lit(2_000_000).cast("long").alias("size")
+    sizes = [blocks.select(F.col(c).alias("contig"), size).distinct() for c in ("src_contig", "tgt_contig")]
+    path = folder(spark, "chain")
+    chain.write_chain(blocks, *sizes, path)
+    return chain.read_chain(spark, path).drop("block")
+
+
+@register("fetch_clustered", "SELECT site_id, contig, st, en FROM sites WHERE contig = 'chr5' AND st < 12000000 AND en > 2000000")
+def fetch_clustered(spark, sf_dir):
+    path = folder(spark, "clustered")
+    layout.write_clustered(table(spark, sf_dir, "sites").select("site_id", "contig", "st", "en"), path, files=48)
+    return layout.fetch_clustered(spark, path, "chr5", 2_000_000, 12_000_000)

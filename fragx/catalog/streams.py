@@ -15,6 +15,7 @@ from fragx.functions.common import round6
 from fragx.operators import calling as C, features as X, modeling as L
 from fragx.plans.scoring import reports, score_samples as score_plan
 from fragx.streaming import incremental as S
+from fragx.streaming.state import read_versioned
 
 
 def _stream(spark, sf_dir, name):
@@ -37,6 +38,21 @@ def stream_bin_counts(spark, sf_dir):
     return S.latest_counts(spark, f"{out}/rows", ["contig", "start"])
 
 
+@register(
+    "stream_versioned_counts",
+    """SELECT contig, (pos // 50000) * 50000 AS start, COUNT(*) AS reads FROM (SELECT CONCAT('chr', 1 + user_id % 22) AS contig, (event_id * 104729) % 20000000 AS pos FROM events) e
+      GROUP BY contig, (pos // 50000) * 50000""",
+)
+def stream_versioned_counts(spark, sf_dir):
+    e = _stream(spark, sf_dir, "events").select(
+        F.concat(F.lit("chr"), (1 + F.col("user_id") % 22).cast("string")).alias("contig"),
+        (F.col("event_id") * 104729 % 20000000).alias("pos"),
+    )
+    out = S.work_folder(spark, "versioned")
+    S.stream_versioned_counts(e, ["contig"], 50_000, f"{out}/rows", f"{out}/state")
+    return read_versioned(spark, f"{out}/rows", ["contig", "start"])
+
+
 @register(
     "stream_confusion",
     "SELECT CAST(quality AS INT) AS y, CAST(toxic AS INT) AS yhat, COUNT(*) AS n FROM labels GROUP BY quality, toxic",
@@ -139,6 +155,30 @@ def grid_search(spark, sf_dir):
     return scored.select("vec_id", "label", F.posexplode("probs").alias("idx", "p")).withColumn("p", round6("p"))
 
 
+FOLDS = {
+    "buyers": "SELECT o_custkey, CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END AS label, COUNT(*) AS n FROM orders GROUP BY ALL",
+    "mains": "SELECT o_custkey, label, SUM(n) OVER (PARTITION BY o_custkey) AS n, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY n DESC, label) AS place FROM buyers",
+    "dealt": """SELECT o_custkey, ROW_NUMBER() OVER (PARTITION BY label ORDER BY n DESC, md5(CONCAT(o_custkey, ':42')), o_custkey) - 1 AS rn FROM mains WHERE place = 1""",
+}
+
+
+@register(
+    "grouped_folds",
+    "SELECT o_orderkey, o_custkey, CAST(CASE WHEN (rn // 5) % 2 = 0 THEN rn % 5 ELSE 4 - rn % 5 END AS INT) AS fold FROM orders JOIN dealt USING (o_custkey)",
+    FOLDS,
+)
+def grouped_folds(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("label", F.when(F.col("o_totalprice") > 150000, 1).otherwise(0))
+    return L.grouped_folds(o.select("o_orderkey", "o_custkey", "label"), "o_custkey", "label", 5).select("o_orderkey", "o_custkey", "fold")
+
+
+@register("cross_validate")
+def cross_validate(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 101).alias("subject"), "label", F.col("embedding").alias("features"))
+    held = L.cross_validate(e, "subject", folds=3, numTrees=4, maxDepth=3, seed=7)
+    return held.select("vec_id", "label", "fold", F.posexplode("probs").alias("idx", "p")).withColumn("p", round6("p"))
+
+
 HAPLOID = {**OBSERVED, "chosen": OBSERVED["chosen"].replace("WHERE alleles IS NOT NULL", "WHERE alleles IS NOT NULL AND gt NOT IN ('0/1', '1/2')")}
 
 

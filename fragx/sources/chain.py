@@ -62,8 +62,8 @@ def chain_lines(blocks: DataFrame, src_sizes: DataFrame, tgt_sizes: DataFrame) -
     """Chain text of a block table with a ``chain`` column, with the columns (chain, at, value) in file order.
 
     ``src_sizes`` and ``tgt_sizes`` give (contig, size). The blocks of a chain lie on one
-    contig pair and strand, in order on both sides and without overlap. A
-    window per chain gives each block its gaps.
+    contig pair and strand, in order on both sides and without overlap; others
+    are an error. A window per chain gives each block its gaps.
     """
     size = F.col("src_end") - F.col("src_start")
     rows = blocks.join(src_sizes.select(F.col("contig").alias("src_contig"), F.col("size").alias("src_size")), "src_contig")
@@ -73,6 +73,9 @@ def chain_lines(blocks: DataFrame, src_sizes: DataFrame, tgt_sizes: DataFrame) -
     order = Window.partitionBy("chain").orderBy("src_start")
     after = lambda c: F.lead(c).over(order)
     rows = rows.withColumns({"_dt": after("src_start") - F.col("src_end"), "_dq": after("_tgt") - F.col("_tgt") - F.col("_size")})
+    crossed = (F.col("_dt") < 0) | (F.col("_dq") < 0)
+    message = F.concat(F.lit("blocks of a chain overlap or turn back: "), F.col("chain"))
+    rows = rows.withColumn("_dt", F.when(crossed, F.raise_error(message).cast("long")).otherwise(F.col("_dt")))
     lines = rows.select("chain", F.col("src_start").alias("at"), F.concat_ws("\t", "_size", "_dt", "_dq").alias("value"))
     first = lambda c: F.min_by(c, "src_start")
     heads = rows.groupBy("chain").agg(

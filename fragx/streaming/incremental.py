@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fragx.operators.bins import bin_counts
 from fragx.session import ensure_checkpoint_dir
+from fragx.streaming.state import versioned_sink
 
 
 def read_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -29,6 +30,14 @@ def stream_bin_counts(
     return _start(counts.writeStream.outputMode("update"), _by_batch(output), checkpoint, drain)
 
 
+def stream_versioned_counts(
+    stream: DataFrame, keys: list[str], window: int, output: str, checkpoint: str, pos: str = "pos", every: int = 20, drain: bool = True
+):
+    """``stream_bin_counts`` into a snapshot with changes that is compacted every so many batches; ``state.read_versioned`` reads it."""
+    counts = bin_counts(stream, keys, window, pos)
+    return _start(counts.writeStream.outputMode("update"), versioned_sink([*keys, "start"], output, every), checkpoint, drain)
+
+
 def stream_confusion(stream: DataFrame, truth: str, predicted: str, output: str, checkpoint: str, drain: bool = True):
     """Running confusion counts; the whole small matrix is written with every batch."""
     counts = stream.groupBy(F.col(truth).cast("int").alias("y"), F.col(predicted).cast("int").alias("yhat")).agg(
