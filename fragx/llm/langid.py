@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fragx.llm.common import stored, texts_of
+from fragx.llm.common import shuffle_tasks, stored, texts_of
 
 #: Words and n-grams of all languages together in the model; it is collected and broadcast.
 MAX_WORDS = 200_000
@@ -49,13 +49,22 @@ def _capped(counts: DataFrame, value: str, limit: int) -> DataFrame:
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """(lang, word, n) over all given documents; tasks combine before the shuffle."""
+    """(lang, word, n) over all given documents; tasks combine before the shuffle.
+
+    A flush looks for words in the distinct strings between white space only.
+    """
 
     def count(batches):
-        found: dict[str, Counter] = {}
+        found: dict[str, Counter] = {}  # by what stands between white space: letters are searched once per flush
 
         def out():
-            rows = [(lang, word, n) for lang, words in found.items() for word, n in words.items()]
+            rows = []
+            for lang, pieces in found.items():
+                words: Counter = Counter()
+                for piece, n in pieces.items():
+                    for word in LETTERS.findall(piece):
+                        words[word] += n
+                rows += [(lang, word, n) for word, n in words.items()]
             found.clear()
             kinds = ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())
             columns = list(zip(*rows)) if rows else [[]] * 3
@@ -63,7 +72,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist()):
-                found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(text.lower().split())
                 if sum(map(len, found.values())) > FLUSH:
                     yield out()
         yield out()
@@ -73,16 +82,43 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, gram, n) of the 1- to 5-grams of all counted words, each word between spaces."""
-    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    """(lang, gram, n) of the 1- to 5-grams of all counted words, each word between spaces.
+
+    The table of words is small beside its n-grams, so it is dealt over all
+    tasks first; tasks combine before the shuffle and hold at most what one word
+    adds to ``FLUSH`` n-grams.
+    """
+
+    def count(batches):
+        found: dict[str, dict[str, int]] = {}
+
+        def out():
+            langs = np.repeat(np.array(list(found), object), [len(grams) for grams in found.values()])
+            grams = [g for grams in found.values() for g in grams]
+            counts = [n for grams in found.values() for n in grams.values()]
+            found.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["lang", "gram", "n"]
+            )
 
-    def grams(n: int):
-        places = F.sequence(F.lit(1), F.length(padded) - (n - 1))
-        return F.when(F.length(padded) >= n, F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        held = 0
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                known, padded = found.setdefault(lang, {}), f" {word} "
+                before = len(known)
+                for length in range(1, LONGEST_GRAM + 1):
+                    for at in range(len(padded) - length + 1):
+                        gram = padded[at : at + length]
+                        known[gram] = known.get(gram, 0) + n
+                held += len(known) - before
+                if held > FLUSH:
+                    yield out()
+                    held = 0
+        yield out()
 
-    every = F.flatten(F.array(*[grams(n) for n in range(1, LONGEST_GRAM + 1)]))
-    spread = words.select("lang", "n", F.explode(every).alias("gram")).filter(F.col("gram") != " ")
-    return spread.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    dealt = words.select("lang", "word", "n").repartition(shuffle_tasks(words.sparkSession), "lang", "word")
+    rows = dealt.mapInArrow(count, "lang string, gram string, n long").filter(F.col("gram") != " ")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
@@ -99,26 +135,26 @@ def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
     sizes = {lang: n for lang, n in counted.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "prior": 0}
+        return {"langs": [], "words": {}, "word_rows": np.empty((0, 0)), "grams": {}, "gram_rows": np.empty((0, 0)), "prior": 0}
     spread = stored(gram_counts(counted))
     lengths = spread.groupBy("lang", F.length("gram").alias("length")).agg(F.sum("n").alias("n"))
     gram_sizes = {(lang, length): n for lang, length, n in lengths.collect()}  # five per language
-    words = _capped(counted, "word", max(1, max_words // len(langs))).collect()
-    grams = _capped(spread, "gram", max(1, max_grams // len(langs))).collect()
+    words = _capped(counted, "word", max(1, max_words // len(langs))).toArrow()
+    grams = _capped(spread, "gram", max(1, max_grams // len(langs))).toArrow()
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def penalties(rows, total):
-        logs = [(at[lang], value, -np.log10(n / total(lang, value))) for lang, value, n in rows]
-        worst = max((p for _, _, p in logs), default=0) + UNSEEN
-        table: dict = {}
-        for i, value, p in logs:
-            table.setdefault(value, np.full(len(langs), worst, np.float32))[i] = p
-        return table
+    def penalties(entries, total):
+        lang, values, n = (column.to_pylist() for column in entries.columns)
+        logs = -np.log10(np.array(n, float) / np.array([total(*entry) for entry in zip(lang, values)], float))
+        index = {value: i for i, value in enumerate(dict.fromkeys(values))}
+        rows = np.full((len(index), len(langs)), logs.max(initial=0) + UNSEEN, np.float32)
+        rows[[index[value] for value in values], [at[x] for x in lang]] = logs
+        return index, rows
 
-    return {
-        "langs": langs, "words": penalties(words, lambda lang, _: sizes[lang]),
-        "grams": penalties(grams, lambda lang, gram: gram_sizes[lang, len(gram)]), "prior": max(range(len(langs)), key=lambda i: sizes[langs[i]]),
-    }
+    word_index, word_rows = penalties(words, lambda lang, _: sizes[lang])
+    gram_index, gram_rows = penalties(grams, lambda lang, gram: gram_sizes[lang, len(gram)])
+    prior = max(range(len(langs)), key=lambda i: sizes[langs[i]])
+    return {"langs": langs, "words": word_index, "word_rows": word_rows, "grams": gram_index, "gram_rows": gram_rows, "prior": prior}
 
 
 def evidence(word: str, words: dict[str, int], grams: dict[str, int]) -> tuple[bool, list[int]]:
@@ -139,15 +175,11 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs, self.prior = model["langs"], model["prior"]
-        self.words, self.word_rows = self._table(model["words"])
-        self.grams, self.gram_rows = self._table(model["grams"])
+        self.words, self.word_rows = model["words"], model["word_rows"].astype(float)
+        self.grams, self.gram_rows = model["grams"], model["gram_rows"].astype(float)
         self.known: dict[str, int] = {}
         self.rows = np.zeros((FLUSH, len(self.langs) + 2))  # sums of penalties, words with evidence, words
 
-    def _table(self, entries: dict) -> tuple[dict[str, int], np.ndarray]:
-        rows = np.array(list(entries.values()), float).reshape(len(entries), len(self.langs))
-        return {w: i for i, w in enumerate(entries)}, rows
-
     def _learn(self, pieces: list[str]) -> None:
         if len(self.known) + len(pieces) > len(self.rows):
             self.known.clear()
