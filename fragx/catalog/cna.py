@@ -32,6 +32,49 @@ CNA = {
 }
 
 
+def lowess_tables(frac: float = 0.5, passes: int = 3) -> dict[str, str]:
+    """The robust local regression of reads on GC as SQL: counts and moments per distinct GC, one set of tables per pass."""
+    tables = {
+        "fit_rows": "SELECT sample_id, contig, start, CAST(reads AS DOUBLE) AS y, gc AS x FROM flagged WHERE ideal",
+        "fit_xs": "SELECT sample_id, x, COUNT(*) AS c FROM fit_rows GROUP BY sample_id, x",
+        "fit_k": f"SELECT sample_id, GREATEST(CAST(floor({frac} * COUNT(*) + 1e-10) AS BIGINT), 1) AS k FROM fit_rows GROUP BY sample_id",
+        "fit_near": """SELECT a.sample_id, a.x, b.x AS bx, abs(b.x - a.x) AS d, SUM(b.c) OVER (PARTITION BY a.sample_id, a.x ORDER BY abs(b.x - a.x)) AS upto
+          FROM fit_xs a JOIN fit_xs b ON a.sample_id = b.sample_id""",
+        "fit_radius": "SELECT n.sample_id, n.x, MIN(n.d) AS h FROM fit_near n JOIN fit_k k ON k.sample_id = n.sample_id WHERE n.upto >= k.k GROUP BY n.sample_id, n.x",
+        "fit_tri": """SELECT n.sample_id, n.x, n.bx, CASE WHEN h > 0 AND d / h < 1 THEN pow(1 - pow(d / h, 3), 3) WHEN h > 0 THEN 0.0 WHEN d = 0 THEN 1.0 ELSE 0.0 END AS tri
+          FROM fit_near n JOIN fit_radius r ON r.sample_id = n.sample_id AND r.x = n.x""",
+        "fit_w0": "SELECT *, CAST(1 AS DOUBLE) AS robust FROM fit_rows",
+    }
+    for i in range(passes + 1):
+        tables |= {
+            f"fit_m{i}": f"SELECT sample_id, x, SUM(robust) AS mass, SUM(robust * y) AS moment, AVG(y) AS plain FROM fit_w{i} GROUP BY sample_id, x",
+            f"fit_c{i}": f"""SELECT t.sample_id, t.x, SUM(tri * mass) AS total, SUM(tri * mass * bx) / NULLIF(SUM(tri * mass), 0) AS center, SUM(tri * moment) / NULLIF(SUM(tri * mass), 0) AS mean_y
+              FROM fit_tri t JOIN fit_m{i} m ON m.sample_id = t.sample_id AND m.x = t.bx GROUP BY t.sample_id, t.x""",
+            f"fit_s{i}": f"""SELECT c.sample_id, c.x, c.total, c.center, c.mean_y, SUM(tri * mass * pow(bx - center, 2)) / NULLIF(c.total, 0) AS spread, SUM(tri * moment * (bx - center)) / NULLIF(c.total, 0) AS cov
+              FROM fit_c{i} c JOIN fit_tri t ON t.sample_id = c.sample_id AND t.x = c.x JOIN fit_m{i} m ON m.sample_id = t.sample_id AND m.x = t.bx GROUP BY c.sample_id, c.x, c.total, c.center, c.mean_y""",
+            f"fit_l{i}": f"""SELECT s.sample_id, s.x, CASE WHEN total > 0 AND spread < 1e-12 THEN mean_y WHEN total > 0 THEN mean_y + cov / spread * (s.x - center) WHEN mass > 0 THEN moment / mass ELSE plain END AS fit
+              FROM fit_s{i} s JOIN fit_m{i} m ON m.sample_id = s.sample_id AND m.x = s.x""",
+            f"fit_r{i}": f"SELECT w.sample_id, w.contig, w.start, w.y, w.x, l.fit, abs(w.y - l.fit) AS off FROM fit_w{i} w JOIN fit_l{i} l ON l.sample_id = w.sample_id AND l.x = w.x",
+            f"fit_w{i + 1}": f"""SELECT r.sample_id, contig, start, y, x, CASE WHEN scale > 0 AND off / scale < 1 THEN pow(1 - pow(off / scale, 2), 2) WHEN scale > 0 OR off > 0 THEN 0.0 ELSE 1.0 END AS robust
+              FROM fit_r{i} r JOIN (SELECT sample_id, 6.0 * MEDIAN(off) AS scale FROM fit_r{i} GROUP BY sample_id) q ON q.sample_id = r.sample_id""",
+        }
+    del tables[f"fit_w{passes + 1}"]
+    tables["corrected_bins"] = f"""SELECT f.*, c.corrected FROM flagged f LEFT JOIN
+      (SELECT sample_id, contig, start, y / (fit / MEDIAN(fit) OVER (PARTITION BY sample_id)) AS corrected FROM fit_r{passes}) c
+      ON f.ideal AND c.sample_id = f.sample_id AND c.contig = f.contig AND c.start = f.start"""
+    return tables
+
+
+UNTIL_FLAGS = {name: CNA[name] for name in (*COUNTS, "armed", "tracked", "flagged")}
+CORRECTED = {**UNTIL_FLAGS, **lowess_tables()}
+CORRECTED_SCORES = {
+    **CORRECTED,
+    "arms": "SELECT sample_id, arm, CAST(SUM(CASE WHEN corrected > 0 THEN corrected ELSE 0 END) AS DOUBLE) AS total FROM corrected_bins WHERE arm IS NOT NULL GROUP BY sample_id, arm",
+    "shares": CNA["shares"].replace("reads", "corrected").replace("flagged", "corrected_bins"),
+    **{name: CNA[name] for name in ("grid", "filled", "panel", "z")},
+}
+
+
 def tracks(bins):
     window = F.floor(F.col("start") / 1_000_000)
     places = bins.select("contig", "start").distinct()
@@ -133,13 +176,13 @@ def median_normalize(spark, sf_dir):
     return m.select("sample_id", "contig", "start", round6("ratio").alias("ratio"))
 
 
-@register("gc_correct")
+@register("gc_correct", "SELECT sample_id, contig, start, reads, ideal, ROUND(corrected, 6) + 0.0 AS corrected FROM corrected_bins", CORRECTED)
 def gc_correct(spark, sf_dir):
     out = C.gc_correct(flagged(spark, sf_dir))
     return out.select("sample_id", "contig", "start", "reads", "ideal", round6("corrected").alias("corrected"))
 
 
-@register("copy_number")
+@register("copy_number", "SELECT sample_id, level, key, ROUND(z, 5) + 0.0 AS z FROM z", CORRECTED_SCORES)
 def copy_number(spark, sf_dir):
     bins = materialize(dense(spark, sf_dir))
     gc, mappability = tracks(bins)
