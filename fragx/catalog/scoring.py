@@ -360,6 +360,20 @@ def evaluate_by(spark, sf_dir):
     return e.select("lang", round6("accuracy").alias("accuracy"), round6("brier").alias("brier"))
 
 
+@register(
+    "user_aggregate",
+    """SELECT lang, ROUND(SUM(p * (below + n / 2.0)) / NULLIF(SUM(p) * SUM(n), 0), 6) + 0.0 AS auc FROM
+      (SELECT lang, p, n, SUM(n) OVER (PARTITION BY lang ORDER BY bin) - n AS below FROM
+        (SELECT d.lang, floor(s.score * 1000) AS bin, CAST(SUM(s.y) AS DOUBLE) AS p, CAST(SUM(1 - s.y) AS DOUBLE) AS n FROM scores s JOIN documents d ON d.doc_id = s.doc_id GROUP BY ALL) t) u GROUP BY lang""",
+)
+def user_aggregate(spark, sf_dir):
+    from fragx.operators import modeling as L
+
+    s = scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    out = L.user_aggregate(s.select("lang", "y", "score"), ["lang"], ["y", "score"], L.BinnedAuc("y", "score"), "double", "auc")
+    return out.select("lang", round6("auc").alias("auc"))
+
+
 @register("masked_mean", "SELECT vec_id, ROUND(SUM(CASE WHEN x > 0 THEN x ELSE 0 END) / (1e-10 + SUM(CASE WHEN x > 0 THEN 1 ELSE 0 END)), 6) + 0.0 AS mean FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) e GROUP BY vec_id")
 def masked_mean(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -32,6 +36,113 @@ def map_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
+class Aggregate:
+    """A user's aggregate: subclass it; states are pickled, so keep them small whatever the number of rows.
+
+    ``merge`` has to be associative and commutative: rows meet in any order.
+    """
+
+    def init(self):
+        raise NotImplementedError
+
+    def update(self, state, frame: pd.DataFrame):
+        """``state`` with the rows of ``frame`` added."""
+        raise NotImplementedError
+
+    def merge(self, state, other):
+        raise NotImplementedError
+
+    def finish(self, state):
+        """The result, of the type that ``user_aggregate`` was told."""
+        return state
+
+
+def user_aggregate(
+    df: DataFrame, keys: list[str], columns: list[str], aggregate: Aggregate, returns: str, name: str = "value",
+    open_groups: int = 4096, fan: int = 64,
+) -> DataFrame:
+    """``aggregate`` per group, with a part on the map side: one row per group, key columns and ``name``.
+
+    Every task folds its rows into one state per group and sends states only,
+    at most ``open_groups`` held at a time; a hot group is so worked on by all
+    tasks. States are merged in two steps, first over ``fan`` salts. Null keys
+    make a group, rows without columns for it are not dropped; an empty table
+    gives no row. ``keys`` may be empty only if one row for all is wanted.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    state_name, salt = "_state", "_salt"
+    used = [*keys, *[c for c in columns if c not in keys]]
+
+    def fold(batches):
+        states: dict[tuple, object] = {}
+        types: list = []
+
+        def out():
+            held = [pa.array([k[i] for k in states], t) for i, t in enumerate(types)]
+            held.append(pa.array([pickle.dumps(s) for s in states.values()], pa.binary()))
+            states.clear()
+            return pa.RecordBatch.from_arrays(held, names=[*keys, state_name])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(k).type for k in keys]
+            places: dict[tuple, list[int]] = {}
+            rows = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * batch.num_rows
+            for at, key in enumerate(rows):
+                places.setdefault(key, []).append(at)
+            for key, found in places.items():
+                part = batch if len(found) == batch.num_rows else batch.take(pa.array(np.array(found, np.int64)))
+                state = states[key] if key in states else aggregate.init()
+                states[key] = aggregate.update(state, part.select(columns).to_pandas())
+                if len(states) >= open_groups:
+                    yield out()
+        if states:
+            yield out()
+
+    def merged(states: pd.Series):
+        return reduce(aggregate.merge, map(pickle.loads, states))
+
+    @pandas_udf("binary")
+    def combine(states: pd.Series) -> bytes:
+        return pickle.dumps(merged(states))
+
+    @pandas_udf(returns)
+    def finish(states: pd.Series) -> float:  # the type that counts is ``returns``
+        return aggregate.finish(merged(states))
+
+    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"{state_name} binary"])
+    parts = df.select(*used).mapInArrow(fold, schema).withColumn(salt, F.spark_partition_id() % fan)
+    once = parts.groupBy(*keys, salt).agg(combine(state_name).alias(state_name))
+    return once.groupBy(*keys).agg(finish(state_name).alias(name)) if keys else once.groupBy(F.lit(1).alias(salt)).agg(finish(state_name).alias(name)).drop(salt)
+
+
+class BinnedAuc(Aggregate):
+    """Area under the ROC curve of scores from 0 to 1 in ``bins`` equal bins; ties within a bin count half."""
+
+    def __init__(self, truth: str, score: str, bins: int = 1000):
+        self.truth, self.score, self.bins = truth, score, bins
+
+    def init(self):
+        return np.zeros((2, self.bins + 1), np.int64)
+
+    def update(self, state, frame):
+        frame = frame.dropna()
+        at = np.floor(frame[self.score].to_numpy(float) * self.bins).astype(int)
+        np.add.at(state, (frame[self.truth].to_numpy(int), at), 1)
+        return state
+
+    def merge(self, state, other):
+        return state + other
+
+    def finish(self, state):
+        negative, positive = state.astype(float)
+        pairs = negative.sum() * positive.sum()
+        below = np.cumsum(negative) - negative
+        return float((positive * (below + negative / 2)).sum() / pairs) if pairs else None
+
+
 def fit_classifier(
     rows: DataFrame, features: str = "features", label: str = "label", kind: str = "forest", **params
 ):
