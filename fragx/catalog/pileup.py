@@ -293,6 +293,26 @@ def insertion_track(spark, sf_dir):
     return lists.filter(F.size("ins") == 1).select("site", "fragment", track("ins", 33).alias("track"))
 
 
+@register(
+    "insertion_track_whole",
+    """SELECT g.site, g.fragment, string_agg(COALESCE(c.ch, '.'), '' ORDER BY g.p) AS track FROM
+      (SELECT site, fragment, unnest(range(0, 33)) AS p FROM (SELECT DISTINCT site, fragment FROM kept_indels WHERE kind = 'ins') d) g
+      LEFT JOIN ins_cells c ON c.site = g.site AND c.fragment = g.fragment AND c.p = g.p GROUP BY g.site, g.fragment""",
+    {
+        **STACK,
+        "ins_cells": """SELECT site, fragment, idx + k AS p, arg_max(substring(ev, CAST(k + 1 AS BIGINT), 1), {i: idx, s: ev}) AS ch
+          FROM (SELECT *, unnest(range(0, LENGTH(ev))) AS k FROM kept_indels WHERE kind = 'ins') x GROUP BY site, fragment, idx + k""",
+    },
+)
+def insertion_track_whole(spark, sf_dir):
+    """Fragments with any number of insertions; where two overlap, the later one stands."""
+    from fragx.functions.sequence import insertion_track as track
+
+    e = T.fragment_events(rows(spark, sf_dir), ["site"]).filter("kind = 'ins'")
+    lists = e.groupBy("site", "fragment").agg(F.array_sort(F.collect_list(F.struct("idx", "seq"))).alias("ins"))
+    return lists.select("site", "fragment", track("ins", 33).alias("track"))
+
+
 @register("site_examples")
 def site_examples(spark, sf_dir):
     consensus, events = folded(spark, sf_dir)
