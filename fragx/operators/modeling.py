@@ -177,22 +177,33 @@ def predict_classes(model, rows: DataFrame, features: str = "features", probs: s
 
 def grid_search(
     rows: DataFrame, params: dict[str, list], features: str = "features", label: str = "label", folds: int = 3,
-    seed: int = 42, parallelism: int = 2,
+    seed: int = 42, parallelism: int = 2, group: str | None = None,
 ):
-    """Cross-validated search over forest parameters; gives the fitted search model."""
+    """Cross-validated search over forest parameters; gives the fitted search model.
+
+    Classes weigh the same in the fits and in the accuracy. With ``group`` the
+    rows of a group share a fold (``grouped_folds``).
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    forest = RandomForestClassifier(featuresCol="_vector", labelCol=label, seed=seed)
+    from fragx.operators.metrics import balanced_weights
+    from fragx.session import materialize
+
+    forest = RandomForestClassifier(featuresCol="_vector", labelCol=label, weightCol="_weight", seed=seed)
     grid = ParamGridBuilder()
     for name, values in params.items():
         grid = grid.addGrid(getattr(forest, name), values)
     search = CrossValidator(
         estimator=forest, estimatorParamMaps=grid.build(), numFolds=folds, seed=seed, parallelism=parallelism,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
+        evaluator=MulticlassClassificationEvaluator(labelCol=label, weightCol="_weight", metricName="accuracy"),
     )
-    return search.fit(as_vectors(rows, features))
+    weighted = balanced_weights(rows, label, "_weight")
+    if group is not None:
+        weighted = materialize(grouped_folds(weighted, group, label, folds, seed, "_fold"))
+        search = search.setFoldCol("_fold")
+    return search.fit(as_vectors(weighted, features))
 
 
 def grouped_folds(rows: DataFrame, group: str, label: str, folds: int, seed: int = 42, name: str = "fold") -> DataFrame:

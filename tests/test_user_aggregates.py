@@ -61,3 +61,15 @@ def test_null_keys_few_open_groups_no_keys_and_empty_tables(spark):
     assert {r.k: r.value[0] for r in out.collect()} == {1: 3.0, None: 5.0, 2: -np.inf}
     assert [r.value[0] for r in L.user_aggregate(rows, [], ["x"], spread(), "array<double>").collect()] == [6.0]
     assert L.user_aggregate(rows.limit(0), ["k"], ["x"], spread(), "array<double>").collect() == []
+
+
+def test_search_weighs_classes_and_keeps_groups_together(spark):
+    """One class in twenty: unweighted fits would score a lone majority vote with 0.95, weighted ones with 0.5."""
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 30, int(i % 20 == 0), [float(x) for x in rng.normal(size=2)]) for i in range(600)]  # features say nothing
+    df = spark.createDataFrame(rows, "id long, subject long, label int, features array<double>")
+    for group in (None, "subject"):
+        search = L.grid_search(df, {"numTrees": [3], "maxDepth": [2]}, group=group)
+        assert 0.2 < search.avgMetrics[0] < 0.8
+    useful = df.withColumn("features", F.array(F.col("label").cast("double"), F.lit(0.0)))
+    assert L.grid_search(useful, {"numTrees": [3], "maxDepth": [2]}, group="subject").avgMetrics[0] > 0.9
