@@ -189,6 +189,7 @@ HAPLOID = {**OBSERVED, "chosen": OBSERVED["chosen"].replace("WHERE alleles IS NO
     HAPLOID,
 )
 def call_variants_haploid(spark, sf_dir):
-    sites = observed(spark, sf_dir).withColumn("contig", F.lit("chrX"))
+    # Outside the regions that X and Y share, whatever the id: inside them a call is diploid.
+    sites = observed(spark, sf_dir).withColumn("contig", F.lit("chrX")).withColumn("pos", 10_000_000 + F.col("vec_id") % 100_000_000)
     c = C.call_variants(sites, haploid=["chrX", "chrY"], keys=["vec_id"])
     return c.select("vec_id", F.array_join("alleles", ",").alias("alleles"), "qual", "filt", "GT", "GQ", "DP")
