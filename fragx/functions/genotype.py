@@ -27,6 +27,11 @@ def genotype_index(a: Column | str, b: Column | str) -> Column:
     return chain
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _label(ref: Column, alt: Column) -> Column:
     alt = F.when(alt.contains("*"), F.lit("")).otherwise(alt)
     return (
@@ -39,10 +44,17 @@ def _label(ref: Column, alt: Column) -> Column:
 def allele_type(ref, alt0, alt1) -> Column:
     """Two-letter allele type; the first letter is lower case for two different indels of one kind."""
     ref, alt0, alt1 = col(ref), col(alt0), col(alt1)
-    pair = F.array_sort(F.array(_label(ref, alt0), _label(ref, alt1)))
-    first, second = pair[0], pair[1]
-    two_indels = (first == second) & first.isin("D", "I") & (alt0 != alt1)
-    return F.concat(F.when(two_indels, F.lower(first)).otherwise(first), second)
+
+    def letters(v: Column) -> Column:
+        return F.array_sort(F.array(_label(v["ref"], v["alt0"]), _label(v["ref"], v["alt1"])))
+
+    def text(v: Column) -> Column:
+        first, second = v["pair"][0], v["pair"][1]
+        two_indels = (first == second) & first.isin("D", "I") & v["other"]
+        return F.concat(F.when(two_indels, F.lower(first)).otherwise(first), second)
+
+    named = F.struct(ref.alias("ref"), alt0.alias("alt0"), alt1.alias("alt1"))
+    return _once(named, lambda v: _once(F.struct(letters(v).alias("pair"), (v["alt0"] != v["alt1"]).alias("other")), text))
 
 
 def allele_type_label(a, b, alleles) -> Column:
@@ -53,16 +65,20 @@ def allele_type_label(a, b, alleles) -> Column:
     alts = F.when(doubled, F.array(F.get(alleles, F.lit(2)))).otherwise(
         F.slice(alleles, F.lit(2), F.greatest(F.size(alleles) - 1, F.lit(0)))
     )
-    starred = F.array_contains(alts, "*")
-    has_ref = F.when(starred, ~((a == 1) & (b == 2))).when(doubled, F.lit(False)).otherwise((a == 0) | (b == 0))
-    one = F.when(has_ref, F.array(ref, alts[0])).otherwise(F.array(alts[0], alts[0]))
-    pair = F.when(F.size(alts) == 1, one).otherwise(alts)
-    first, second = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-    other = F.when(first != "*", first).otherwise(second)
-    is_starred = F.array_contains(pair, "*")
-    return allele_type(
-        ref, F.when(is_starred, other).otherwise(first), F.when(is_starred, other).otherwise(second)
-    )
+
+    def two(alts: Column) -> Column:
+        starred = F.array_contains(alts, "*")
+        has_ref = F.when(starred, ~((a == 1) & (b == 2))).when(doubled, F.lit(False)).otherwise((a == 0) | (b == 0))
+        one = F.when(has_ref, F.array(ref, alts[0])).otherwise(F.array(alts[0], alts[0]))
+        return F.when(F.size(alts) == 1, one).otherwise(alts)
+
+    def shown(pair: Column) -> Column:
+        first, second = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+        other = F.when(first != "*", first).otherwise(second)
+        is_starred = F.array_contains(pair, "*")
+        return F.struct(F.when(is_starred, other).otherwise(first).alias("x"), F.when(is_starred, other).otherwise(second).alias("y"))
+
+    return _once(_once(_once(alts, two), shown), lambda v: allele_type(ref, v["x"], v["y"]))
 
 
 def type_to_genotype(ref: Column | str, kind: Column | str) -> Column:
