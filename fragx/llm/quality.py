@@ -11,17 +11,18 @@ Every document at or above the threshold is kept; nothing is drawn.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fragx.llm.common import GOLDEN, WordHashes, hash_sample, mix64, texts_of
+from fragx.llm.common import GOLDEN, WordHashes, fresh, mix64, texts_of
+from fragx.operators.ordering import running_totals
+from fragx.session import materialize
 
 BUCKETS = 1 << 16
-MAX_TRUSTED = 131_072
 #: Strength of the prior: a bucket's target count is weighed as if it had this many occurrences at the raw rate.
 PRIOR = 2.0
 #: Share of the trusted documents, scored without themselves, that the threshold has to keep.
@@ -37,28 +38,48 @@ def features(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (np.concatenate([hashes, pairs]) % np.uint64(buckets)).astype(np.int64)
 
 
-def labelled_ids(labels: DataFrame, good: bool, max_ids: int = MAX_TRUSTED) -> DataFrame:
-    """Ids labelled good and not toxic, or bad; of more than ``max_ids`` a repeatable sample of about that size."""
+def labelled_ids(labels: DataFrame, good: bool) -> DataFrame:
+    """All ids labelled good and not toxic, or all labelled bad; each once."""
     wanted = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) if good else F.col("quality") == 0
-    ids = labels.filter(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return hash_sample(ids, ["doc_id"], max_ids, ids.count())
+    return labels.filter(wanted & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
+def _flagged(docs: DataFrame, trusted: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus whether its id is trusted; the ids stay a table and Spark chooses the join by their size."""
+    key = fresh(docs, "_trusted_id")
+    joined = docs.join(trusted.select(F.col("doc_id").alias(key)), F.col("doc_id").cast("long") == F.col(key), "left")
+    return joined.withColumn(name, F.col(key).isNotNull()).drop(key)
 
 
 @dataclass
 class Model:
-    """Counts per bucket over all and over trusted documents, the trusted ids in order, and the threshold."""
+    """Counts per bucket over all and over trusted documents, the trusted ids (a table, or few in order), and the threshold."""
 
     raw: np.ndarray
     target: np.ndarray
-    trusted: np.ndarray
+    trusted: np.ndarray | DataFrame | None
     threshold: float = -np.inf
     raw_size: int = 0
     target_size: int = 0
 
     def trusts(self, ids: list) -> np.ndarray:
-        """Which of the ids are trusted; null is not."""
+        """Which of the ids are trusted; null is not. Of a table only the ids asked for come back."""
         known = np.array([i is not None for i in ids], bool)
-        return known & np.isin(np.array([0 if i is None else i for i in ids], np.int64), self.trusted)
+        asked = np.array([0 if i is None else i for i in ids], np.int64)
+        trusted = self.trusted
+        if isinstance(trusted, DataFrame):
+            trusted = np.array([r[0] for r in trusted.filter(F.col("doc_id").isin(asked.tolist())).collect()], np.int64)
+        return known & np.isin(asked, trusted)
+
+    def ids(self, spark: SparkSession) -> DataFrame:
+        """The trusted ids as a table."""
+        if isinstance(self.trusted, DataFrame):
+            return self.trusted
+        return spark.createDataFrame([(int(i),) for i in self.trusted], "doc_id long")
+
+    def shared(self) -> Model:
+        """What tasks need: numbers per bucket, no ids."""
+        return replace(self, trusted=None)
 
     def score(self, found: np.ndarray, trusted: bool) -> float:
         """Mean log ratio of a text's buckets by what the other documents hold."""
@@ -73,53 +94,62 @@ class Model:
         return float((own * ratio).sum() / len(found))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> Model:
-    """Counts per bucket and the threshold. Raw counts cover all documents, target counts the trusted ones.
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Model:
+    """Counts per bucket and the threshold. Raw counts cover all documents, target counts all trusted ones.
 
     Each task sends one row per bucket at most, so neither shuffle nor driver
-    sees more than ``buckets`` rows a task; the driver holds ``max_trusted`` ids
-    at most. Without trusted documents the ratio is 0 everywhere: every text
+    sees more than ``buckets`` rows a task; labelled ids and their scores stay
+    tables. Without trusted documents the ratio is 0 everywhere: every text
     then passes.
     """
-    ids = np.sort(labelled_ids(labels, True, max_trusted).toArrow().column("doc_id").to_numpy())
-    model = Model(np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), ids)
-    known = docs.sparkSession.sparkContext.broadcast(model)
+    trusted = materialize(labelled_ids(labels, True))
+    model = Model(np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), trusted)
 
     def count(batches):
         raw, target, hashes = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), WordHashes()
         for batch in batches:
-            for text, trusted in zip(texts_of(batch), known.value.trusts(batch.column("doc_id").to_pylist())):
+            for text, trusts in zip(texts_of(batch), batch.column("_trusted").to_pylist()):
                 words = text.encode("utf-8", "replace").split()
                 if words:
                     seen = features(hashes(words), buckets)
                     raw += np.bincount(seen, minlength=buckets) if len(seen) > buckets // 8 else 0
                     if len(seen) <= buckets // 8:
                         np.add.at(raw, seen, 1)
-                    if trusted:
+                    if trusts:
                         np.add.at(target, seen, 1)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    counted = docs.select(*columns).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = _flagged(mine, trusted, "_trusted").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket")
     for b, r, t in counted.agg(F.sum("raw"), F.sum("target")).collect():  # ``buckets`` rows at most
         model.raw[b], model.target[b] = r, t
     model.raw_size, model.target_size = int(model.raw.sum()), int(model.target.sum())
     if model.target_size:
-        model.threshold = _threshold(docs.select(*columns), labels, model, max_trusted)
+        model.threshold = _threshold(mine, labels, model)
     return model
 
 
-def _threshold(docs: DataFrame, labels: DataFrame, model: Model, max_ids: int) -> float:
-    """``best_cut`` over the scores of labelled documents that pass the base rules, ``max_ids`` good and as many bad ones at most."""
-    marked = labelled_ids(labels, True, max_ids).withColumn("good", F.lit(True)).unionByName(
-        labelled_ids(labels, False, max_ids).withColumn("good", F.lit(False))
-    )
-    mine = docs.join(F.broadcast(marked), "doc_id")  # 2 x ``max_ids`` rows of two numbers
-    scored = score(mine.select("doc_id", "text"), model).filter(~F.col("base_failed")).select("doc_id", "score").distinct()
-    found = scored.join(F.broadcast(marked), "doc_id").select("score", "good").toArrow()
-    values, good = found.column("score").to_numpy(), found.column("good").to_numpy(zero_copy_only=False)
-    return best_cut(values[good], values[~good])
+def _threshold(docs: DataFrame, labels: DataFrame, model: Model) -> float:
+    """``best_cut`` over the scores of all labelled documents that pass the base rules."""
+    marked = materialize(model.trusted.withColumn("good", F.lit(1)).unionByName(labelled_ids(labels, False).withColumn("good", F.lit(0))))
+    mine = docs.join(marked.select("doc_id").distinct(), "doc_id", "left_semi")
+    scored = score(mine, model).filter(~F.col("base_failed")).select("doc_id", "score").distinct()
+    return best_cut_of(scored.join(marked, "doc_id").groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
+
+
+def best_cut_of(counts: DataFrame) -> float:
+    """``best_cut`` of a table (score, good, bad) with one row per score and how many of each have it; shares are compared in whole numbers."""
+    counts = materialize(counts)
+    goods, bads = counts.agg(F.sum("good"), F.sum("bad")).first()
+    if not goods:
+        return -np.inf
+    below = running_totals(counts, {"_good": "good", "_bad": "bad"}, [F.col("score")])
+    good, bad = goods - F.col("_good") + F.col("good"), bads - F.col("_bad") + F.col("bad")
+    gain = good * max(bads, 1) - bad * goods
+    best = below.filter(good / goods >= KEEP_GOOD).agg(F.min_by("score", F.struct(-gain, F.col("score")))).first()[0]
+    before = counts.filter(F.col("score") < best).agg(F.max("score")).first()[0]
+    return best if before is None else (before + best) / 2
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -175,14 +205,21 @@ class Judge:
         self.model, self.hashes = model, WordHashes()
 
     def __call__(self, text: str, trusted: bool) -> tuple:
+        *counts, failed, plain, other = self.both(text)
+        value = other if trusted else plain
+        return *counts, failed, not failed and value >= self.model.threshold, value
+
+    def both(self, text: str) -> tuple:
+        """Counts, whether the base rules fail, and the scores of the text as an untrusted and as a trusted one."""
         words = text.encode("utf-8", "replace").split()
         n, h = len(words), self.hashes(words) if words else None
         n_repeat = repeated_words(h) if n else 0
         failed = n < 20 or 100 * n_repeat > 30 * n
-        value = self.model.score(features(h, len(self.model.raw)), trusted) if n else None
+        found = features(h, len(self.model.raw)) if n else None
+        values = [self.model.score(found, t) if n else None for t in (False, True)]
         characters = len(text) - sum(text.count(c) for c in SPACES)
         symbols = sum(text.count(c) for c in SYMBOLS)
-        return n, characters, symbols, duplicate_lines(text), n_repeat, failed, not failed and value >= self.model.threshold, value
+        return n, characters, symbols, duplicate_lines(text), n_repeat, failed, *values
 
 
 SCHEMA = (
@@ -198,33 +235,37 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows and null ids are judged like any other row. Columns beyond
     doc_id and text are ignored whatever their names; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two numbers per bucket and the bounded ids
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared())  # two numbers per bucket
 
     def run(batches):
         judge = Judge(shared.value)
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
+        kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2
         for batch in batches:
-            rows = [judge(*row) for row in zip(texts_of(batch), shared.value.trusts(batch.column("doc_id").to_pylist()))]
-            columns = zip(*rows) if rows else [[]] * len(kinds)
+            columns = list(zip(*map(judge.both, texts_of(batch)))) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_plain", "_other"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # texts stay where they are: only these few numbers meet the trusted ids
+    rows = _flagged(mine.mapInArrow(run, SCHEMA.replace("kept boolean, score double", "_plain double, _other double")), model.ids(docs.sparkSession), "_trusted")
+    rows = rows.withColumn("score", F.when(F.col("_trusted"), F.col("_other")).otherwise(F.col("_plain")))
+    kept = ~F.col("base_failed") & (F.col("score") >= float(model.threshold))
+    return rows.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, with all their columns and without a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs`` that ``score`` keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.shared())
 
     @F.pandas_udf("boolean")
-    def kept(ids: pd.Series, texts: pd.Series) -> pd.Series:
+    def kept(trusted: pd.Series, texts: pd.Series) -> pd.Series:
         judge = Judge(shared.value)
-        trusted = shared.value.trusts([None if i is None else int(i) for i in ids])
-        return pd.Series([judge(t or "", x)[-2] for t, x in zip(texts, trusted)], dtype=bool)
+        return pd.Series([judge(t or "", bool(x))[-2] for t, x in zip(texts, trusted)], dtype=bool)
 
-    return docs.filter(kept(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")))
+    name = fresh(docs, "_trusted")
+    return _flagged(docs, model.ids(docs.sparkSession), name).filter(kept(F.col(name), F.col("text").cast("string"))).drop(name)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
