@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -42,6 +42,9 @@ STREAMS = 3
 #: Shared runs up to which they are sent to the tasks; beyond, pages meet them in a join.
 SENT = 2_000_000
 
+#: Letters whose words are hashed together.
+TOGETHER = 200_000
+
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 CLOSER = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -185,9 +188,24 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _streams(blocks: list[tuple[int, str]]) -> list[np.ndarray]:
-    """Hashes of the words outside and inside articles."""
-    return [token_hashes(" ".join([text for k, text in blocks if (k == ARTICLE) == inside]).encode("utf-8", "replace")) for inside in (False, True)]
+def _streams(pages: Iterable[tuple[str, list[tuple[int, str]]]], together: int = TOGETHER) -> Iterator[tuple[str, list[tuple[int, str]], list[np.ndarray]]]:
+    """(host, blocks, hashes of the words outside and inside articles) of every page; about ``together`` letters are hashed at once."""
+
+    def out():
+        joined = [" ".join([text for k, text in page if (k == ARTICLE) == inside]) for _, page in held for inside in (False, True)]
+        words = token_hashes(" ".join([x for x in joined if x]).encode("utf-8", "replace"))
+        parts = np.split(words, np.cumsum([x.count(" ") + 1 if x else 0 for x in joined])[:-1])
+        return [(*page, parts[2 * i : 2 * i + 2]) for i, page in enumerate(held)]
+
+    held, letters = [], 0
+    for host, page in pages:
+        held.append((host, page))
+        letters += sum(len(text) for _, text in page)
+        if letters > together:
+            yield from out()
+            held, letters = [], 0
+    if held:
+        yield from out()
 
 
 class Runs:
@@ -196,15 +214,16 @@ class Runs:
     def __init__(self, run: int):
         self.run = run
 
-    def __call__(self, host: str, inside: int, words: np.ndarray, leads: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-        """Runs, their minimisers (if wanted) and the hash of the whole stream."""
+    def __call__(self, host: str, inside: int, words: np.ndarray, leads: bool = True, runs: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+        """Runs, their minimisers (each if wanted) and the hash of the whole stream."""
         if len(words) < self.run:
             return np.empty(0, np.int64), np.empty(0, np.int64), 0
         place = np.array([xxhash.xxh3_64_intdigest(f"{inside} {host}".encode("utf-8", "replace"))], np.uint64)
         lead = min(LEAD, self.run)
         first = sliding_minima(mix64(window_sums(words, lead) + place), self.run - lead + 1) if leads else np.empty(0, np.uint64)
         whole = xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63)
-        return signed(mix64(window_sums(words, self.run) + place)), signed(first), whole
+        grams = mix64(window_sums(words, self.run) + place) if runs else np.empty(0, np.uint64)
+        return signed(grams), signed(first), whole
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -235,9 +254,9 @@ def _blocks(batch):
 def _told(blocks_of_batch, runs_of: Runs, streams: int, keep: Callable | None) -> tuple[np.ndarray, np.ndarray]:
     """Values and the streams that hold them, in order; at most ``streams`` of a value."""
     values, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for host, page in blocks_of_batch:
-        for inside, words in enumerate(_streams(page)):
-            grams, leads, whole = runs_of(host, inside, words)
+    for host, _, parts in _streams(blocks_of_batch):
+        for inside, words in enumerate(parts):
+            grams, leads, whole = runs_of(host, inside, words, runs=keep is not None)
             found = np.unique(leads if keep is None else grams[keep(leads)])
             values.append(found)
             owners.append(np.full(len(found), whole, np.int64))
@@ -268,35 +287,64 @@ def shared_runs(blocks: DataFrame, run: int, streams: int, keep: Callable) -> Da
     return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= streams).select("value")
 
 
-#: Bits of a row of ``shared_leads`` that tell streams apart; the others are those of the minimiser.
-TAG = 20
+#: Bits of a minimiser that ``shared_leads`` leaves out, and bits that tell its streams apart there.
+TAG, OWNER = 24, 16
+#: Pages whose minimisers make a part, about, and the fewest and most parts (as powers of two).
+PART_PAGES, FEW, MANY = 5_000, 10, 20
 
 
 def shared_leads(blocks: DataFrame, run: int) -> DataFrame:
     """Minimisers (without their last bits) that two streams or more hold.
 
-    One number per row: minimiser and stream. Few bits tell streams apart, so
-    two suffice here; whether a run has enough is counted with whole hashes.
+    Minimisers are dealt by their first bits over parts, as many as the number
+    of pages asks for. Few bits tell streams apart, so two suffice here;
+    whether a run has enough is counted with whole hashes.
     """
+    deal = min(max(int(blocks.count() // PART_PAGES).bit_length(), FEW), MANY)
+    rest = 64 - TAG - deal
+
+    def compare(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        low = np.concatenate([_unpacked(x) for x in group.column("leads").to_pylist()])
+        told = np.sort((low.astype(np.int64) << OWNER) | np.frombuffer(b"".join(group.column("owners").to_pylist()), np.uint16))
+        low = told >> OWNER
+        found = np.unique(low[1:][(low[1:] == low[:-1]) & (told[1:] != told[:-1])])
+        return pa.table({"value": pa.array(found | (part << rest), pa.int64())})
+
+    return lead_rows(blocks, run, rest).groupBy("part").applyInArrow(compare, "value long")
+
+
+def lead_rows(blocks: DataFrame, run: int, rest: int) -> DataFrame:
+    """A row per batch of pages and part: the batch's minimisers there, as ``rest`` bits each in steps, and a few bits of their streams."""
 
     def read(batches):
         runs_of = Runs(run)
         for batch in batches:
             value, owner = _told(_blocks(batch), runs_of, 2, None)
-            tag = (signed(mix64(owner.view(np.uint64))) & ((1 << TAG) - 1)) if len(owner) else owner
-            yield pa.RecordBatch.from_arrays([pa.array((value >> TAG << TAG) | tag)], names=["told"])
+            lead, owner = value.view(np.uint64) >> np.uint64(TAG), mix64(owner.view(np.uint64)).astype(np.uint16)
+            order = np.argsort(lead, kind="stable")  # minimisers came in signed order
+            lead, owner = lead[order], owner[order]
+            twice = np.flatnonzero(lead[1:] == lead[:-1]) + 1
+            owner[twice] = owner[twice - 1] ^ 1  # two streams of one batch always differ
+            part = (lead >> np.uint64(rest)).astype(np.int64)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            ends, low = np.append(starts[1:], len(part)), (lead & np.uint64((1 << rest) - 1)).astype(np.uint32)
+            rows = [(_packed(low[a:b]), owner[a:b].tobytes()) for a, b in zip(starts, ends)]
+            columns = [pa.array(part[starts]), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "leads", "owners"])
+
+    return blocks.mapInArrow(read, "part long, leads binary, owners binary")
+
+
+def _packed(ascending: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as steps, first bytes first: those are mostly 0, which compresses."""
+    steps = np.diff(ascending, prepend=np.uint32(0)).astype(">u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def compare(batches):
-        last = np.empty(0, np.int64)
-        for batch in batches:
-            told = np.append(last, batch.column("told").to_numpy())
-            lead = told >> TAG
-            found = lead[1:][(lead[1:] == lead[:-1]) & (told[1:] != told[:-1])]
-            last = told[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["value"])
 
-    rows = blocks.mapInArrow(read, "told long").repartition(F.shiftright("told", TAG)).sortWithinPartitions("told")
-    return rows.mapInArrow(compare, "value long")
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(">u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
 
 
 def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -355,8 +403,8 @@ def extract(pages: DataFrame, run: int = RUN, streams: int = STREAMS, sent: int
         runs_of = Runs(run)
         for batch in batches:
             grams = []
-            for host, page in _blocks(batch):
-                own = np.unique(np.concatenate([runs_of(host, i, w, leads=False)[0] for i, w in enumerate(_streams(page))]))
+            for host, _, parts in _streams(_blocks(batch)):
+                own = np.unique(np.concatenate([runs_of(host, i, w, leads=False)[0] for i, w in enumerate(parts)]))
                 grams.append(own[sieve(own)])
             rows = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("row").take(rows), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))], names=["row", "value"])
@@ -375,9 +423,9 @@ def _assemble(run: int, known: Callable | None = None) -> Callable:
         for batch in batches:
             texts = []
             listed = batch.column("found").to_pylist() if known is None else None
-            for at, (host, page) in enumerate(_blocks(batch)):
+            for at, (host, page, parts) in enumerate(_streams(_blocks(batch))):
                 shared = known() if known else np.array(listed[at] or [], np.int64)
-                texts.append(unique_text(page, *(covered(runs_of(host, i, w, leads=False)[0], len(w), shared, run) for i, w in enumerate(_streams(page)))))
+                texts.append(unique_text(page, *(covered(runs_of(host, i, w, leads=False)[0], len(w), shared, run) for i, w in enumerate(parts))))
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
