@@ -22,7 +22,7 @@ from fragx.llm.common import stored, texts_of
 LENGTH = 2048
 END_ID = 1
 #: Distinct runs that a worker remembers from task to task; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 #: Rows of one length that one task ranks, about.
 RANK_ROWS = 200_000
 RUNS_A_CALL = 2000
